@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from leafmill.llm.common import read_table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.piece_stream import round_trip
+
+    return round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.prefix_bpe import token_counts
 
