@@ -19,6 +19,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), limit=512)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.lang_mixture import language_query
+
+    return language_query(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
