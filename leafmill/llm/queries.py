@@ -13,6 +13,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.toxic_crf import toxicity_query
+
+    return toxicity_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.prefix_bpe import token_counts
 
@@ -25,6 +31,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(read_table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.secret_cost import secret_query
+
+    return secret_query(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
