@@ -27,7 +27,7 @@ CONTEXT = re.compile(
     re.ASCII | re.IGNORECASE,
 )
 # What a text must hold for any of the patterns to match; evaluated without Python for whole batches.
-TRIGGER = r"(?i:passw|passphrase|passcode|pwd|pass[\"']?\x20*[:=]|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization)|AKIA|[0-9a-f]{32}"
+TRIGGER = r"(?i:passw|passphrase|passcode|pwd|pass[\"']?\x20*(?:[:=]|is\x20)|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization)|AKIA|[0-9a-f]{32}"
 
 # Common parts of guessed passwords, most common first; the rank is the cost.
 COMMON = (
