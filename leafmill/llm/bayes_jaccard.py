@@ -11,15 +11,13 @@ they are verified: pairs are never rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Memo, slices, stored
+from leafmill.llm.common import Memo, grouped, runs, slices, stored
 from leafmill.llm.components import components
 
 WORDS = 5
@@ -143,40 +141,6 @@ def roots(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
-def grouped(batches, keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows that are equal in the key columns, across batches; rows come sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(batch.num_rows, bool)
-        new[0] = last is not None and tuple(c[0] for c in columns) != last
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        cuts = np.flatnonzero(new)
-        last = tuple(c[-1] for c in columns)
-        if not len(cuts):
-            held.append(batch)
-            continue
-        # Whole runs go out together, so that many small ones cost little.
-        whole = cuts[-1]
-        held.append(batch.slice(0, whole))
-        yield pa.Table.from_batches(held)
-        held = [batch.slice(whole)]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def runs(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    columns = [table.column(k).to_numpy() for k in keys]
-    new = np.ones(table.num_rows, bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    begins = np.flatnonzero(new)
-    return begins, np.append(begins[1:], table.num_rows)
-
-
 def signature_table(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (128 bits of the shingle set), bands and signature (16 bits a value)."""
 
@@ -366,6 +330,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents with the least doc_id of each class; of repeated rows one stays, rows without doc_id stay."""
+    classes = near_duplicates(documents)
+    kept = classes.where("class_id = doc_id").select(F.col("doc_id").alias("kept_id"))
+    again = documents.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again_id")).agg(F.count("*").alias("n")).where("n > 1").select("again_id")
+    chosen = documents.join(kept, documents.doc_id == kept.kept_id, "left_semi")
+    once = chosen.join(again, chosen.doc_id == again.again_id, "left_anti")
+    more = chosen.join(again, chosen.doc_id == again.again_id, "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(more).unionByName(documents.where("doc_id IS NULL"))
+
+
 def misses(similarity: float) -> float:
     """The probability that a pair of this similarity shares no band."""
     return math.exp(HASHES // BAND * math.log1p(-(similarity**BAND)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +90,35 @@ def bounded_sample(frame: DataFrame, key: str | Column, bounds: dict, group: str
     return frame.where(draw < share)
 
 
-def text_rows(batches: Iterable, id_column: str = "doc_id", text_column: str = "text"):
-    """(ids, texts) of each Arrow batch."""
+def grouped(batches, keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the key columns, across batches; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        yield batch.column(id_column), batch.column(text_column).to_pylist()
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = last is not None and tuple(c[0] for c in columns) != last
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = np.flatnonzero(new)
+        last = tuple(c[-1] for c in columns)
+        if not len(cuts):
+            held.append(batch)
+            continue
+        # Whole runs go out together, so that many small ones cost little.
+        whole = cuts[-1]
+        held.append(batch.slice(0, whole))
+        yield pa.Table.from_batches(held)
+        held = [batch.slice(whole)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def runs(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    columns = [table.column(k).to_numpy() for k in keys]
+    new = np.ones(table.num_rows, bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    begins = np.flatnonzero(new)
+    return begins, np.append(begins[1:], table.num_rows)

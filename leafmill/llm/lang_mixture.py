@@ -165,6 +165,24 @@ def identify(documents: DataFrame, model: LanguageModel, penalty: float = 3.0, r
     return documents.select(*dict.fromkeys([*wanted, "text"])).mapInArrow(run, f"{schema}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
+def with_language(documents: DataFrame, model: LanguageModel, penalty: float = 3.0, rounds: int = 12) -> DataFrame:
+    """The documents that have a language, with lang set to it; those found `und` go, other columns stay."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    names = documents.columns
+
+    def run(batches):
+        known = sent.value
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            labels = []
+            for begin, end in slices(texts, SLICE_CHARS):
+                labels += known.predict(texts[begin:end], penalty, rounds)[0] if known.languages else [UNDETERMINED] * (end - begin)
+            new = pa.RecordBatch.from_arrays([pa.array(labels, pa.string()) if n == "lang" else batch.column(n) for n in names], names=names)
+            yield new.filter(pa.array([v != UNDETERMINED for v in labels], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def language_query(documents: DataFrame) -> DataFrame:
     """Learns from the documents that are not held out and predicts all."""
     model = train(documents.where(~held_out("doc_id")))
