@@ -183,16 +183,18 @@ def evidence(texts: list[set[str]], toxic: np.ndarray) -> set[str]:
     return {t for t, n in several.items() if n > 4 * share * (n + outside[t]) / (1 + 3 * share) and gain(n, outside[t]) > need}
 
 
-def train(labelled: DataFrame, per_label: int = 3000, rounds: int = 60, longest: int = 60_000, seed: int = 5) -> ToxicModel:
-    """Fits on a bounded sample of labelled rows (text, toxic): about per_label toxic and twice as many other
-    texts of at most longest characters, drawn by a hash of the text. Without rows of both labels the model gives
-    every text the same low score."""
-    labelled = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull() & (F.length("text") <= longest)).select("text", "toxic")
-    there = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def train(documents: DataFrame, marks: DataFrame, per_label: int = 3000, rounds: int = 60, longest: int = 60_000, seed: int = 5) -> ToxicModel:
+    """Fits on a bounded sample of the labelled rows: about per_label toxic documents and twice as many others, drawn
+    by a hash of doc_id from marks (doc_id, toxic), less those of more than longest characters. Without rows
+    of both labels the model gives every text the same low score."""
+    marks = marks.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    there = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(there) < 2:
         return ToxicModel()
     wanted = {1: per_label, 0: 2 * per_label}
-    rows = bounded_sample(labelled, "text", {v: (n, wanted[v]) for v, n in there.items()}, "toxic", seed).toLocalIterator()
+    # At most about 3 * per_label ids, so they can go to every executor and no text is shuffled.
+    drawn = F.broadcast(bounded_sample(marks, "doc_id", {v: (n, wanted[v]) for v, n in there.items()}, "toxic", seed))
+    rows = documents.where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(drawn, "doc_id").select("text", "toxic").toLocalIterator()
     rows = without_copies(sorted(({"text": r["text"], "toxic": r["toxic"]} for r in rows), key=lambda r: (zlib.crc32(r["text"].encode("utf-8", "surrogatepass")), r["text"])))
     label = np.array([r["toxic"] for r in rows], bool)
     if label.all() or not label.any():
@@ -284,6 +286,5 @@ def scored(documents: DataFrame, model: ToxicModel, threshold: float = 0.3) -> D
 
 def toxicity_query(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from labelled documents that are not held out and scores all."""
-    marks = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = train(documents.select("doc_id", "text").where(~held_out("doc_id")).join(marks, "doc_id"))
+    model = train(documents.select("doc_id", "text"), labels.where(~held_out("doc_id")).select("doc_id", "toxic"))
     return scored(documents, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "spans")
