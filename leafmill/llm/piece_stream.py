@@ -68,10 +68,11 @@ class PieceModel:
         self.free_cut = not any(SPACE in t.lstrip(SPACE) for t in self.id_of)
         self.follows = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], PAIRS_KEPT)
         self.stands = Memo(lambda piece: self.merged(piece) == [piece], PAIRS_KEPT)
+        self.packed_id = {t: i.to_bytes(4, "little") for t, i in self.id_of.items()}
         self.touching = {t[i : i + 2] for t in self.id_of for i in range(len(t) - 1)}
         self.ending = ahocorasick.Automaton()
         for text in self.score:
-            self.ending.add_word(text, text)
+            self.ending.add_word(text, (text, len(text)))
         self.ending.make_automaton()
         self.packed = Memo(self.pack_segment, SEGMENTS_KEPT)
         self.packed_part = Memo(self.pack_part, PARTS_KEPT)
@@ -141,15 +142,22 @@ class PieceModel:
         if self.kind != BPE or len(part) == 1:
             return np.array(self.ids_of(part) if len(part) == 1 else list(StreamingViterbi(self).whole(part)), "<i4").tobytes()
         last, done = [""] * (len(part) + 1), -1
-        for end, piece in self.ending.iter(part):
-            begin = end + 1 - len(piece)
-            if end != done and (self.follows[last[begin], piece] if begin else self.stands[piece]):
-                last[end + 1], done = piece, end
-        ids, end = [], len(part)
+        follows, stands = self.follows, self.stands
+        for end, (piece, size) in self.ending.iter(part):
+            if end == done:
+                continue
+            if end + 1 > size:
+                if not follows[last[end + 1 - size], piece]:
+                    continue
+            elif not stands[piece]:
+                continue
+            last[end + 1], done = piece, end
+        packed, end = b"", len(part)
         while end:
-            ids.append(self.id_of[last[end]])
-            end -= len(last[end])
-        return np.array(ids[::-1], "<i4").tobytes()
+            piece = last[end]
+            packed = self.packed_id[piece] + packed
+            end -= len(piece)
+        return packed
 
     def encode_packed(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers."""
