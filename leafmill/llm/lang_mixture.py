@@ -28,9 +28,9 @@ SLICE_CHARS = 4_000_000
 
 
 def grams(word: str) -> list[int]:
-    """Buckets of the 1- to 4-grams of a word with its ends marked, and of the whole word."""
+    """Buckets of the 2- and 3-grams of a word with its ends marked, and of the whole word."""
     marked = f"<{word}>"
-    found = [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
+    found = [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in [*found, marked + "="]]
 
 
