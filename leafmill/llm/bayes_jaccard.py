@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Memo, grouped, runs, slices, stored
+from leafmill.llm.common import Memo, claim, grouped, runs, slices, stored
 from leafmill.llm.components import components
 
 WORDS = 5
@@ -145,6 +145,7 @@ def signature_table(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (128 bits of the shingle set), bands and signature (16 bits a value)."""
 
     def run(batches):
+        claim("jaccard")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for begin, end in slices(texts, SLICE_CHARS):
@@ -223,6 +224,7 @@ def with_shingles(rows: DataFrame) -> DataFrame:
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches):
+        claim("jaccard")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for begin, end in slices(texts, SLICE_CHARS):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,12 +36,32 @@ def slices(texts: list[str | None], most_chars: int) -> Iterator[tuple[int, int]
         yield begin, len(texts)
 
 
+memories: weakref.WeakSet = weakref.WeakSet()
+owner = [""]
+
+
+def claim(operator: str) -> None:
+    """Called by a task before it uses memories: those of another operator's tasks in this process are let go."""
+    if owner[0] != operator:
+        for memory in list(memories):
+            memory.forget()
+        owner[0] = operator
+
+
 class Memo(dict):
     """A bounded memory of a pure function, in two generations: what is asked for again outlives a turn-over."""
 
     def __init__(self, compute, most: int):
         super().__init__()
         self.compute, self.half, self.old = compute, most // 2, {}
+        memories.add(self)
+
+    def __hash__(self):
+        return id(self)
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
 
     def __missing__(self, key):
         value = self.old.get(key)

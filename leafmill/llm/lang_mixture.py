@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Memo, bounded_sample, held_out, slices
+from leafmill.llm.common import Memo, bounded_sample, claim, held_out, slices
 
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
-WORDS_KEPT = 400_000
+WORDS_KEPT, CHUNKS_KEPT = 100_000, 400_000
 SLICE_CHARS = 4_000_000
 
 
@@ -42,7 +42,7 @@ class LanguageModel:
 
     def __post_init__(self):
         self.words = Memo(self.word_score, WORDS_KEPT)
-        self.chunks = Memo(self.chunk_score, WORDS_KEPT)
+        self.chunks = Memo(self.chunk_score, CHUNKS_KEPT)
 
     def __getstate__(self):
         return {"languages": self.languages, "table": self.table, "prior": self.prior}
@@ -150,6 +150,7 @@ def identify(documents: DataFrame, model: LanguageModel, penalty: float = 3.0, r
     wanted = ["doc_id", *[c for c in keep if c != "doc_id"]]
 
     def run(batches):
+        claim("language")
         known = sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -171,6 +172,7 @@ def with_language(documents: DataFrame, model: LanguageModel, penalty: float = 3
     names = documents.columns
 
     def run(batches):
+        claim("language")
         known = sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()

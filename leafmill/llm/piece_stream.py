@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import Memo
+from leafmill.llm.common import Memo, claim
 
 SPACE = "▁"
 SEGMENTS_KEPT, PARTS_KEPT, PAIRS_KEPT, LONGEST_KEPT = 500_000, 100_000, 300_000, 80
@@ -292,6 +292,7 @@ def encoded(documents: DataFrame, path: str | None = None, keep_text: bool = Fal
     path = path or default_path()
 
     def run(batches):
+        claim("pieces")
         pieces = model(path)
         for batch in batches:
             packed = [pieces.encode_packed(t) for t in batch.column("text").to_pylist()]
@@ -311,6 +312,7 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     others = [c for c in rows.columns if c not in ("ids", "decoded")]
 
     def run(batches):
+        claim("pieces")
         pieces = model(path)
         for batch in batches:
             texts = pa.array([pieces.decode(ids or ()) for ids in batch.column("ids").to_pylist()], pa.string())
@@ -329,6 +331,7 @@ def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches):
+        claim("pieces")
         pieces = model(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import Memo
+from leafmill.llm.common import Memo, claim
 
 # The split pattern of byte-level BPE vocabularies.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -164,6 +164,7 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = 512
     path = path or default_path()
 
     def run(batches):
+        claim("prefix_bpe")
         tokens = counter(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -183,6 +184,7 @@ def truncated(documents: DataFrame, budget: int, path: str | None = None) -> Dat
     path = path or default_path()
 
     def run(batches):
+        claim("prefix_bpe")
         tokens = counter(path)
         for batch in batches:
             kept = [tokens.truncate(t, budget) for t in batch.column("text").to_pylist()]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Memo, bounded_sample, held_out, slices
+from leafmill.llm.common import Memo, bounded_sample, claim, held_out, slices
 
 BUCKETS = 1 << 18
 BLOCK = 64
@@ -268,6 +268,7 @@ def scored(documents: DataFrame, model: ToxicModel, threshold: float = 0.3) -> D
     sent = documents.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS
 
     def run(batches):
+        claim("toxicity")
         known = sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
