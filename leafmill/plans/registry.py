@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.plans import relational_queries, report_queries, symbol_queries
 
-def modules() -> list:
-    return []
+MODULES = (symbol_queries, relational_queries, report_queries)
 
 
 def queries() -> dict:
-    return {name: f for module in modules() for name, f in module.QUERIES.items()}
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in modules() for name, sql in module.SQL.items()}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["q_compliance_report"](spark, sf_dir)
+    return queries()["check_accounting"](spark, sf_dir)
