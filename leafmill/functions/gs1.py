@@ -41,9 +41,15 @@ def path_segment(value: Column) -> Column:
     return F.replace(F.replace(F.replace(coded, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def digital_link(elements: Column, domain: str = "https://id.gs1.org") -> Column:
     """The primary key goes first, the rest in order."""
-    ranks = F.transform(elements, lambda e, i: F.struct(F.array_position(F.array(*map(F.lit, PRIMARY_KEYS)), e["ai"]).alias("r"), i.alias("i")))
+    keys = F.array(*map(F.lit, PRIMARY_KEYS))
+    ranks = F.transform(elements, lambda e, i: F.struct(F.array_position(keys, e["ai"]).alias("r"), i.alias("i")))
     first = F.array_min(F.filter(ranks, lambda x: x["r"] > 0))["i"]
-    ordered = F.concat(F.slice(elements, first + 1, 1), F.filter(elements, lambda e, i: i != first))
+    ordered = bound(first, lambda at: F.concat(F.slice(elements, at + 1, 1), F.filter(elements, lambda e, i: i != at)))
     return F.concat(F.lit(domain), F.array_join(F.transform(ordered, lambda e: F.concat(F.lit("/"), e["ai"], F.lit("/"), path_segment(e["value"]))), ""))

@@ -66,7 +66,8 @@ def gs1_parse(spark, d):
 
 def gs1_payload(spark, d):
     elements = gs1.parse(F.concat(F.lit("(10)L"), F.col("l_orderkey").cast("string"), F.lit("(01)"), F.lpad(F.col("l_partkey").cast("string"), 14, "0"), F.lit("(21)S"), F.col("l_suppkey").cast("string")))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", gs1.payload(elements).alias("payload"), gs1.readable(elements).alias("readable"), gs1.digital_link(elements).alias("link"))
+    forms = gs1.bound(elements, lambda e: F.struct(gs1.payload(e).alias("payload"), gs1.readable(e).alias("readable"), gs1.digital_link(e).alias("link")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.inline(F.array(forms)))
 
 
 def digital_link_path(spark, d):
