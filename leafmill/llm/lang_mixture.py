@@ -23,15 +23,23 @@ from leafmill.llm.common import Memo, bounded_sample, claim, held_out, slices
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
-WORDS_KEPT, CHUNKS_KEPT = 100_000, 400_000
+WORDS_KEPT, CHUNKS_KEPT = 250_000, 300_000
+GRAMS_KEPT = 50_000
 SLICE_CHARS = 4_000_000
 
 
+def bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+buckets = Memo(bucket, GRAMS_KEPT)
+
+
 def grams(word: str) -> list[int]:
     """Buckets of the 2- and 3-grams of a word with its ends marked, and of the whole word."""
     marked = f"<{word}>"
     found = [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in [*found, marked + "="]]
+    return [*map(buckets.__getitem__, found), bucket(marked + "=")]
 
 
 @dataclass
@@ -51,14 +59,14 @@ class LanguageModel:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def word_score(self, word: str) -> np.ndarray:
-        """Grams overlap, so their logarithms are averaged to the weight of about the word's length."""
+    def word_score(self, word: str) -> bytes:
+        """Packed log-likelihoods. Grams overlap, so they are averaged to the weight of about the word's length."""
         marks = grams(word)
-        return self.table[marks].sum(0) * (len(word) + 1) / len(marks)
+        return (self.table[marks].sum(0) * ((len(word) + 1) / len(marks))).astype("f4").tobytes()
 
-    def chunk_score(self, chunk: str) -> bytes | None:
+    def chunk_score(self, chunk: str) -> bytes:
         """Of what stands between two blanks: the packed scores of its words, empty without letters."""
-        return b"".join(self.words[w].astype("f4").tobytes() for w in LETTERS.findall(chunk.lower()))
+        return b"".join(map(self.words.__getitem__, LETTERS.findall(chunk.lower())))
 
     def predict(self, texts: list[str | None], penalty: float, rounds: int) -> tuple[list[str], list[float], list[list[tuple[str, float]]]]:
         k = len(self.languages)
