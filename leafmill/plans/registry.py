@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import document_queries, relational_queries, report_queries, symbol_queries
+from leafmill.plans import document_queries, layout_queries, relational_queries, report_queries, symbol_queries
 
-MODULES = (symbol_queries, relational_queries, report_queries, document_queries)
+MODULES = (symbol_queries, relational_queries, report_queries, document_queries, layout_queries)
 
 
 def queries() -> dict:
