@@ -28,7 +28,7 @@ TOLERANCE = 1e-7
 BUCKET_CHUNK, GROUP_CHUNK = 1024, 256
 FEW = 8
 SLICE_CHARS = 3_000_000
-WORDS_KEPT = 600_000
+WORDS_KEPT = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 word_hashes = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), WORDS_KEPT)
 
@@ -187,6 +187,7 @@ def tied(bucketed: DataFrame) -> DataFrame:
     keys = ["band", "key", "a", "b"]
 
     def run(batches):
+        claim("jaccard")
         least = least_matches()
         for table in grouped(batches, keys):
             begins, ends = runs(table, keys)
@@ -264,6 +265,7 @@ def verified(members: DataFrame) -> DataFrame:
     keys = ["grp", "a", "b"]
 
     def run(batches):
+        claim("jaccard")
         least = least_matches()
         for table in grouped(batches, keys):
             docs_out, root_out, links_out = [], [], []

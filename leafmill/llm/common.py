@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import weakref
 from collections.abc import Iterable, Iterator
 
@@ -46,6 +48,12 @@ def claim(operator: str) -> None:
         for memory in list(memories):
             memory.forget()
         owner[0] = operator
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:  # give freed pages back where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
 
 
 class Memo(dict):

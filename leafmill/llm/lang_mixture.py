@@ -23,9 +23,9 @@ from leafmill.llm.common import Memo, bounded_sample, claim, held_out, slices
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
-WORDS_KEPT, CHUNKS_KEPT = 250_000, 300_000
+WORDS_KEPT, CHUNKS_KEPT = 120_000, 200_000
 GRAMS_KEPT = 50_000
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def bucket(gram: str) -> int:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import stored
+from leafmill.llm.common import claim, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -89,6 +89,7 @@ def schedule(spark: SparkSession, wanted: list[SourceTarget], block_words: int =
     points = int(blocks.sum() + 4 * len(wanted) + 64) if blocks.sum() else 0
 
     def run(batches):
+        claim("mix")
         for batch in batches:
             slot = batch.column("id").to_numpy()
             point = ((slot.astype("u8") + np.uint64(1)) * np.uint64(GOLDEN)).astype("f8") / 2.0**64

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from leafmill.llm.common import Memo, claim
 
 SPACE = "▁"
-SEGMENTS_KEPT, PARTS_KEPT, PAIRS_KEPT, LONGEST_KEPT = 500_000, 100_000, 300_000, 80
+SEGMENTS_KEPT, PARTS_KEPT, PAIRS_KEPT, LONGEST_KEPT = 300_000, 80_000, 150_000, 80
 # Kinds of pieces and of models in the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
