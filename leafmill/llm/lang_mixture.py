@@ -9,7 +9,6 @@ each word together gains less than the penalty over the best single language, no
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -18,39 +17,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Memo, bounded_sample, claim, held_out, slices
+from leafmill.llm.common import bounded_sample, claim, held_out, memories, slices
 
 UNDETERMINED = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+# A run of letters longer than this counts as several words, so that a word's arrays stay small.
+LETTERS = re.compile(r"[^\W\d_]{1,4096}")
 BUCKETS = 1 << 17
-WORDS_KEPT, CHUNKS_KEPT = 120_000, 200_000
-GRAMS_KEPT = 50_000
-SLICE_CHARS = 2_000_000
-
-
-def bucket(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
-
-
-buckets = Memo(bucket, GRAMS_KEPT)
-
-
-def grams(word: str) -> list[int]:
-    """Buckets of the 2- and 3-grams of a word with its ends marked, and of the whole word."""
-    marked = f"<{word}>"
-    found = [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
-    return [*map(buckets.__getitem__, found), bucket(marked + "=")]
-
-
-@dataclass
+CHUNKS_KEPT = 150_000
+SLICE_CHARS, BATCH_CHARS = 2_000_000, 130_000
+# Odd factors of a multiply-shift hash of code points.
+FACTORS = np.random.default_rng(5).integers(1 << 63, size=6, dtype="u8") * np.uint64(2) + np.uint64(1)
+SHIFT = np.uint64(64 - 17)
+POWERS = np.cumprod(np.full(4098, FACTORS[5]))
+
+
+def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the 2-grams and 3-grams at each position of the words with their ends marked, BUCKETS where
+    none begins, the bucket of each whole word, and where each word begins."""
+    sizes = np.fromiter(map(len, words), "i8", len(words)) + 2
+    begins = np.cumsum(sizes) - sizes
+    codes = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    place = np.arange(len(codes)) - np.repeat(begins, sizes)
+    left = np.repeat(sizes, sizes) - place
+    second, third = np.append(codes[1:], codes[:1]), np.append(codes[2:], codes[:2])
+    two = np.where(left > 1, ((codes * FACTORS[0] + second * FACTORS[1]) >> SHIFT).astype("i8"), BUCKETS)
+    three = np.where(left > 2, ((codes * FACTORS[2] + second * FACTORS[3] + third * FACTORS[4]) >> SHIFT).astype("i8"), BUCKETS)
+    return two, three, (np.add.reduceat(codes * POWERS[place], begins) >> SHIFT).astype("i8"), begins
+
+
+@dataclass(eq=False)
 class LanguageModel:
     languages: list[str]
     table: np.ndarray  # log-likelihood of each bucket under each language
     prior: np.ndarray
 
     def __post_init__(self):
-        self.words = Memo(self.word_score, WORDS_KEPT)
-        self.chunks = Memo(self.chunk_score, CHUNKS_KEPT)
+        self.padded = np.vstack([self.table, np.zeros((1, self.table.shape[1]))]).astype("f4")
+        self.chunks: dict[str, bytes] = {}
+        memories.add(self)
 
     def __getstate__(self):
         return {"languages": self.languages, "table": self.table, "prior": self.prior}
@@ -59,18 +63,36 @@ class LanguageModel:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def word_score(self, word: str) -> bytes:
-        """Packed log-likelihoods. Grams overlap, so they are averaged to the weight of about the word's length."""
-        marks = grams(word)
-        return (self.table[marks].sum(0) * ((len(word) + 1) / len(marks))).astype("f4").tobytes()
-
-    def chunk_score(self, chunk: str) -> bytes:
-        """Of what stands between two blanks: the packed scores of its words, empty without letters."""
-        return b"".join(map(self.words.__getitem__, LETTERS.findall(chunk.lower())))
+    def forget(self) -> None:
+        self.chunks = {}
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Log-likelihoods of words. Grams overlap, each letter counts in two, so their sum is halved."""
+        found = np.empty((len(words), len(self.languages)), "f4")
+        for begin, end in slices(words, BATCH_CHARS):
+            two, three, whole, begins = buckets(words[begin:end])
+            found[begin:end] = (np.add.reduceat(self.padded[two] + self.padded[three], begins, axis=0) + self.padded[whole]) / 2
+        return found
+
+    def learn_chunks(self, wanted: set[str]) -> None:
+        """Puts the packed scores of the words of each chunk (what stands between two blanks) into the memory."""
+        new = [c for c in wanted if c not in self.chunks]
+        if len(self.chunks) + len(new) > CHUNKS_KEPT:
+            self.chunks = {c: self.chunks[c] for c in wanted if c in self.chunks}
+        words = [LETTERS.findall(c.lower()) for c in new]
+        packed = self.word_scores([w for ws in words for w in ws]).tobytes()
+        at, width = 0, 4 * len(self.languages)
+        for chunk, ws in zip(new, words, strict=True):
+            end = at + width * len(ws)
+            self.chunks[chunk] = packed[at:end]
+            at = end
 
     def predict(self, texts: list[str | None], penalty: float, rounds: int) -> tuple[list[str], list[float], list[list[tuple[str, float]]]]:
         k = len(self.languages)
-        packed = [b"".join(map(self.chunks.__getitem__, t.split())) if t else b"" for t in texts]
+        split = [t.split() if t else [] for t in texts]
+        self.learn_chunks(set().union(*split))
+        packed = [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
+        del split
         counts = np.array([len(p) // (4 * k) for p in packed])
         rows = np.frombuffer(b"".join(packed), "f4").reshape(-1, k).astype("f8")
         full = np.flatnonzero(counts)
@@ -138,9 +160,13 @@ def train(labelled: DataFrame, per_language: int = 1500, seed: int = 11) -> Lang
         counts[row["lang"]].update(LETTERS.findall(row["text"].lower()))
     table = np.zeros((BUCKETS, len(languages)))
     for at, value in enumerate(languages):
-        for word, n in counts[value].items():
-            # A word that repeats says less with each repetition.
-            np.add.at(table[:, at], grams(word), np.sqrt(n))
+        words, often = list(counts[value]), np.sqrt(np.fromiter(counts[value].values(), "f8"))  # a word that repeats says less each time
+        for begin, end in slices(words, BATCH_CHARS):
+            two, three, whole, begins = buckets(words[begin:end])
+            weight = often[begin:end]
+            each = np.repeat(weight, np.diff(begins, append=len(two)))
+            for marks, by in ((two, each), (three, each), (whole, weight)):
+                table[:, at] += np.bincount(marks, by, BUCKETS + 1)[:BUCKETS]
     mass = table.sum(0, keepdims=True)
     table = np.log((table + 0.3) / (mass + 0.3 * BUCKETS))
     total = sum(there.values())

@@ -189,6 +189,24 @@ def test_languages_on_held_out_documents(documents):
     assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.98 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_word_scores_against_single_grams():
+    model = lang_mixture.LanguageModel(["a", "b"], np.random.default_rng(1).random((lang_mixture.BUCKETS, 2)).astype("f4"), np.zeros(2))
+    factors, words = [int(f) for f in lang_mixture.FACTORS], ["a", "of", "straße", "日本語", "x" * 4096, "of"]
+
+    def by_hand(word):
+        marked = [ord(c) for c in f"<{word}>"]
+        sums = [a * factors[0] + b * factors[1] for a, b in zip(marked, marked[1:])]
+        sums += [a * factors[2] + b * factors[3] + c * factors[4] for a, b, c in zip(marked, marked[1:], marked[2:])]
+        sums.append(sum(c * factors[5] ** (i + 1) for i, c in enumerate(marked)))
+        return sum(model.table[x % 2**64 >> 47].astype("f8") for x in sums) / 2
+
+    assert np.allclose(model.word_scores(words), [by_hand(w) for w in words], rtol=1e-4)
+    assert lang_mixture.LETTERS.findall("y" * 9000) == ["y" * 4096, "y" * 4096, "y" * 808]
+    long = " ".join(f"word{chr(97 + i % 26) * (i % 9)}{chr(97 + i // 26 % 26)}" for i in range(3000))
+    alone = model.predict([long], 3.0, 12)
+    assert model.predict(["of", long, None], 3.0, 12)[1][1] == alone[1][0]
+
+
 def test_mixture_of_languages(documents):
     model = lang_mixture.train(documents.where(~held_out("doc_id")))
     by = {r.lang: r.text for r in documents.where("n_chars BETWEEN 1500 AND 3000").collect()}
