@@ -25,7 +25,7 @@ KINDS = ("assign", "access", "hex", "guess")
 # Words that name a credential; the value after them is judged by its guess cost.
 CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|bearer|authorization)"""
-    r"""["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?([^\s"'<>,;]{6,256})""",
+    r"""["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?([^\s"'<>,;]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
 # What a text must hold for any of the patterns to match; evaluated without Python for whole batches.
@@ -46,6 +46,9 @@ LEET = str.maketrans("013457@$", "oieastas")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?(?:0[1-9]|1[0-2])(?:[-./]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:(?:19|20)\d\d|\d\d)")
 WALKS = {a + b for row in KEYBOARD for line in (row, row[::-1]) for a, b in zip(line, line[1:], strict=False)}
 SPAN_COST = math.log10(2.0)  # for each further segment: where it ends is unknown
+LONGEST_BLOCK = 16
+# No segment but a walk or a repeat is longer than this.
+REACH = max(LONGEST_WORD, LONGEST_BLOCK, len("31-12-2000"))
 
 
 def alphabet(text: str) -> int:
@@ -55,8 +58,12 @@ def alphabet(text: str) -> int:
     return max(size + 33 * any(not c.isalnum() for c in text), 10)
 
 
-def segments_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
-    """(log10 of the guesses, [(kind, begin, end)]) of the cheapest segmentation."""
+def prefixes(value: str, enough: float = math.inf) -> list[tuple[float, str, int]]:
+    """(log10 of the guesses, kind, begin) of the cheapest segmentation's last segment, for each prefix.
+
+    Every segmentation has a cut in any REACH + 1 places that no walk or repeat spans; once all the prefixes that end
+    there cost enough, so does the whole value, and what follows isn't looked at.
+    """
     n, lower = len(value), value.lower()
     plain = lower.translate(LEET)
     size = 16 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) else alphabet(value)
@@ -85,10 +92,18 @@ def segments_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
         for kind, run, each in (("walk", walk[end - 1], 2.0), ("repeat", same[end - 1], letter)):
             if run >= 2:
                 options.append((best[end - run - 1][0] + each + math.log10(run + 1) + SPAN_COST, kind, end - run - 1))
-        for width in range(2, min(16, end // 2) + 1):  # a block that repeats
+        for width in range(2, min(LONGEST_BLOCK, end // 2) + 1):  # a block that repeats
             if lower[end - width : end] == lower[end - 2 * width : end - width]:
                 options.append((best[end - width][0] + 1.0 + SPAN_COST, "repeat", end - width))
         best.append(min(options))
+        if REACH <= end < n and best[end][0] >= enough and max(walk[end], same[end]) <= REACH and min(best[end - REACH :])[0] >= enough:
+            break
+    return best
+
+
+def segments_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+    """(log10 of the guesses, [(kind, begin, end)]) of the cheapest segmentation."""
+    best, n = prefixes(value), len(value)
     cuts, end = [], n
     while end:
         _, kind, begin = best[end]
@@ -103,6 +118,11 @@ def segments_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return best[n][0], joined
 
 
+def takes(value: str, least: float) -> bool:
+    """Whether the whole value takes 10**least guesses or more, however long it is."""
+    return prefixes(value, least)[-1][0] >= least
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(begin, kind, end) of the base patterns."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
@@ -119,7 +139,7 @@ def guess_spans(text: str, least: float) -> list[tuple[int, int, int]]:
         # A plain word or a template is prose or a placeholder, however long.
         if len(value) < 6 or value.isalpha() and (value.islower() or value.istitle()) or value[0] in "${%[(*":
             continue
-        if segments_cost(value)[0] >= least:
+        if takes(value, least):
             found.append((m.start(1), 3, m.start(1) + len(value)))
     return found
 

@@ -110,6 +110,23 @@ def test_guess_cost():
     assert secret_cost.redacted_text("a pwd: x9$Tq!vz0Lm b", secret_cost.spans_of("a pwd: x9$Tq!vz0Lm b")) == "a pwd: [SECRET] b"
 
 
+def test_long_values_whole():
+    import random
+
+    rng = random.Random(7)
+    for n in (6, 257, 5000):
+        value = "".join(rng.choices("abcXYZ0189!#$%&*+/@^_|~", k=n)) + "9zQ"
+        text = f"private_key = {value} end"
+        assert secret_cost.spans_of(text) == [(14, 3, 14 + len(value))]
+        assert secret_cost.redacted_text(text, secret_cost.spans_of(text)) == "private_key = [SECRET] end"
+    assert secret_cost.spans_of(f"passphrase: {'x' * 5000}") == []
+    parts = ["password", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "20240131", "qwertyuiopqwertyuiop", "abcabcabc", "x9$T", "Q!v", "summer"]
+    for _ in range(300):
+        value = "".join(rng.choices(parts, k=rng.randint(1, 12)))
+        for least in (3.0, 9.0, 20.0):
+            assert secret_cost.takes(value, least) == (secret_cost.segments_cost(value)[0] >= least)
+
+
 def jaccard_classes(texts):
     sets = {}
     for d, t in texts.items():
