@@ -2,7 +2,8 @@
 
 A value's guess cost is that of its cheapest segmentation into common words, dates, repeats, keyboard walks and
 brute-force spans; a dynamic programme over its positions finds it. A value that would take many guesses is a
-secret; a placeholder, a date or a common word is not.
+secret; a template such as ${name} or {{name}}, a date or a common word is not. The cost alone decides, so an
+uncommon word of seven letters or more is a secret too.
 """
 
 from __future__ import annotations
@@ -23,11 +24,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
 # Words that name a credential; the value after them is judged by its guess cost.
+# Any name may be part of a longer one (dbPassword), but "pass" only where a word begins, as it ends many others.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|bearer|authorization)"""
-    r"""["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?([^\s"'<>,;]{6,})""",
+    r"""(?:(?:authorization["']?\x20*[:=]\x20*["']?(?:bearer|basic|token)|(?<![A-Za-z])bearer)\x20+["']?"""
+    r"""|(?:password|passwd|passphrase|passcode|pwd|(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=P)))pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|authorization)"""
+    r"""["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?)([^\s"'<>,;]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
+# A value that only names where the secret comes from, and words that name how a credential is sent.
+TEMPLATE = re.compile(r"\$\{[A-Za-z_][\w.:-]*\}|\{\{[A-Za-z_][\w.:-]*\}\}|%\([A-Za-z_]\w*\)s|%[A-Za-z_]\w*%", re.ASCII)
+SCHEMES = {"bearer", "digest", "negotiate"}
 # What a text must hold for any of the patterns to match; evaluated without Python for whole batches.
 TRIGGER = r"(?i:passw|passphrase|passcode|pwd|pass[\"']?\x20*(?:[:=]|is\x20)|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization)|AKIA|[0-9a-f]{32}"
 
@@ -133,11 +139,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def guess_spans(text: str, least: float) -> list[tuple[int, int, int]]:
     """(begin, kind, end) of values in a credential's place that take 10**least guesses or more."""
-    found = []
-    for m in CONTEXT.finditer(text):
+    found, at = [], 0
+    while m := CONTEXT.search(text, at):
+        at = m.end()
         value = m.group(1).rstrip(".,:!?)]}")
-        # A plain word or a template is prose or a placeholder, however long.
-        if len(value) < 6 or value.isalpha() and (value.islower() or value.istitle()) or value[0] in "${%[(*":
+        if value.lower() in SCHEMES:  # the value comes after it
+            at = m.start(1)
+            continue
+        if len(value) < 6 or TEMPLATE.fullmatch(m.group(1).rstrip(".,:!?")):
             continue
         if takes(value, least):
             found.append((m.start(1), 3, m.start(1) + len(value)))

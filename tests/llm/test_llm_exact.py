@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -111,8 +112,6 @@ def test_guess_cost():
 
 
 def test_long_values_whole():
-    import random
-
     rng = random.Random(7)
     for n in (6, 257, 5000):
         value = "".join(rng.choices("abcXYZ0189!#$%&*+/@^_|~", k=n)) + "9zQ"
@@ -127,6 +126,25 @@ def test_long_values_whole():
             assert secret_cost.takes(value, least) == (secret_cost.segments_cost(value)[0] >= least)
 
 
+def test_cost_decides():
+    for text, value in (
+        ("password: $Xk9#mQ2!vL7p", "$Xk9#mQ2!vL7p"),
+        ("pwd: [k9#mQ2!vL7p", "[k9#mQ2!vL7p"),
+        ("pwd=qzxkvjwmtrplhdbn", "qzxkvjwmtrplhdbn"),
+        ("pwd=Qzxkvjwmtrplhdbn", "Qzxkvjwmtrplhdbn"),
+        ("Authorization: Bearer tk-9fQ2.xLz7Vw and", "tk-9fQ2.xLz7Vw"),
+        ("authorization: Basic dXNlcjpwOTkx", "dXNlcjpwOTkx"),
+        ("sent as Bearer tk-9fQ2.xLz7Vw", "tk-9fQ2.xLz7Vw"),
+        ("dbPassword = p@s#W0!rd9Z", "p@s#W0!rd9Z"),
+        ("userPass: p@s#W0!rd9Z", "p@s#W0!rd9Z"),
+    ):
+        begin = text.index(value)
+        assert (begin, 3, begin + len(value)) in secret_cost.spans_of(text), text
+        assert secret_cost.candidates(pa.array([text])) == [True], text
+    for text in ("pwd: ${DB_PASSWORD}", "pwd: {{vault.db}}", "pwd: %(secret_name)s", "pwd: changeme", "Authorization: Bearer", "compass: q9#mQ2!vL7p", "pwd: [REDACTED]"):
+        assert secret_cost.spans_of(text) == [], text
+
+
 def jaccard_classes(texts):
     sets = {}
     for d, t in texts.items():
