@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmill.operators import relational as R
@@ -69,6 +70,27 @@ def partition_private_shared(spark, d):
     return R.reach_counts(edges, table(spark, d, "part").select("p_partkey"), "p_partkey", "l_suppkey")
 
 
+LINES_A_PAGE = 40
+ORDERS_A_RANGE = 1 << 14
+
+
+def paginate_rows(spark, d):
+    """Lines of all orders in pages of equally many.
+
+    Orders are cut into ranges of keys: a line's number is that of the lines in earlier ranges and its place in its own,
+    so no task holds more than a range. The window without a partition is over a row for each range.
+    """
+    orders, lines = table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    rows = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("span", F.floor(F.col("o_orderkey") / ORDERS_A_RANGE))
+    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("span").agg(F.count("*").alias("n")).select("span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    own = F.row_number().over(Window.partitionBy("span").orderBy("o_orderkey", "l_linenumber")) - 1
+    placed = rows.withColumn("own", own).join(F.broadcast(sums), "span")
+    page = F.floor((F.col("before") + F.col("own")) / LINES_A_PAGE).cast("long") + 1
+    pages = F.floor((F.max("total") - 1) / LINES_A_PAGE).cast("long") + 1
+    return placed.groupBy(page.alias("page")).agg(F.count("*").alias("line_count"), F.min("o_orderkey").alias("first_order"), pages.alias("pages"))
+
+
 # The next ones are plain SQL that both engines read alike.
 SAME = {
     "pie_slices": (
@@ -179,6 +201,7 @@ def same_query(name):
 
 QUERIES = {f.__name__: f for f in (revision_merge, heading_skip, stack_depth, carry_forward_state, unresolved_refs, used_only, range_semi, dup_texts, definition_consistency, partition_private_shared)}
 QUERIES |= {name: same_query(name) for name in SAME}
+QUERIES["paginate_rows"] = paginate_rows  # all orders; its SQL is over every fiftieth only
 
 SQL = {
     "revision_merge": """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)

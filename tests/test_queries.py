@@ -48,3 +48,22 @@ def test_every_check_in_one_bucket(spark):
     per_file = accounts.groupBy("file").count().select("count").distinct().collect()
     assert [r[0] for r in per_file] == [106] and accounts.select("file", "test_id").distinct().count() == accounts.count()
     assert len(catalogue.entries()) == 259
+
+
+def test_paginate_rows_takes_all_orders(spark, duck):
+    rows = duck.execute("SELECT o_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey ORDER BY o_orderkey, l_linenumber").fetchall()
+    keys = [k for (k,) in rows]
+    pages = [keys[at : at + 40] for at in range(0, len(keys), 40)]
+    want = [(i + 1, len(p), p[0], len(pages)) for i, p in enumerate(pages)]
+    assert sorted(map(tuple, QUERIES["paginate_rows"](spark, SMALL).select("page", "line_count", "first_order", "pages").collect())) == want
+
+
+def test_paginate_rows_over_several_ranges(spark, tmp_path):
+    from leafmill.plans import relational_queries
+
+    keys = [k for k in range(1, 3 * relational_queries.ORDERS_A_RANGE, 1000) for _ in range(3)]
+    spark.range(0, 3 * relational_queries.ORDERS_A_RANGE).selectExpr("id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, i % 3) for i, k in enumerate(keys)], "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pages = [keys[at : at + 40] for at in range(0, len(keys), 40)]
+    want = [(i + 1, len(p), p[0], len(pages)) for i, p in enumerate(pages)]
+    assert sorted(map(tuple, QUERIES["paginate_rows"](spark, str(tmp_path)).select("page", "line_count", "first_order", "pages").collect())) == want
