@@ -67,3 +67,24 @@ def test_paginate_rows_over_several_ranges(spark, tmp_path):
     pages = [keys[at : at + 40] for at in range(0, len(keys), 40)]
     want = [(i + 1, len(p), p[0], len(pages)) for i, p in enumerate(pages)]
     assert sorted(map(tuple, QUERIES["paginate_rows"](spark, str(tmp_path)).select("page", "line_count", "first_order", "pages").collect())) == want
+
+
+def test_symbols_of_all_rows(spark, duck):
+    from leafmill.functions import barcodes
+
+    middle = "/root/testdata/sf0.01"
+    left = "0001101 0011001 0010011 0111101 0100011 0110001 0101111 0111011 0110111 0001011".split()
+
+    def ean13(key):
+        code = f"{key:012d}"
+        code += str(-sum(int(c) * (3 if i % 2 else 1) for i, c in enumerate(code)) % 10)
+        right = "".join("".join("10"[int(b)] for b in left[int(c)]) for c in code[7:])
+        return "101" + "".join(left[int(c)] for c in code[1:7]) + "01010" + right + "101"
+
+    parts = [k for (k,) in duck.execute(f"SELECT p_partkey FROM '{middle}/part.parquet'").fetchall()]
+    assert len(parts) > 300
+    assert sorted(map(tuple, QUERIES["ean13_modules"](spark, middle).select("p_partkey", "modules").collect())) == sorted((k, ean13(k)) for k in parts)
+    orders = [k for (k,) in duck.execute("SELECT o_orderkey FROM orders").fetchall()]
+    found = QUERIES["itf_symbol"](spark, SMALL).collect()
+    assert max(orders) > 400 and sorted(r.o_orderkey for r in found) == sorted(orders)
+    assert all(r.runs == "".join(map(str, barcodes.itf_runs(f"{r.o_orderkey:014d}"))) for r in found)
