@@ -23,7 +23,7 @@ def words(text: Column) -> Column:
 
 
 def wrap(text: Column, width: int) -> Column:
-    """Greedy lines of at most width characters; a longer word has a line of its own."""
+    """Greedy lines of the words alone: line feeds are spaces and a longer word has a line of its own; see wrap_text."""
     start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(None).cast("string").alias("line"))
 
     def add(state, word):
@@ -34,6 +34,28 @@ def wrap(text: Column, width: int) -> Column:
     return F.aggregate(words(text), start, add, lambda s: F.when(s["line"].isNull(), s["lines"]).otherwise(F.concat(s["lines"], F.array(s["line"]))))
 
 
+def wrap_text(text: Column, width: int) -> Column:
+    """Greedy lines of at most width characters; a line feed ends a line, also an empty one.
+
+    A longer word is broken into lines of its own, the last of which takes no further word; a line feed after it leaves
+    an empty line, as after any line that is already ended. What follows a last line feed is no line if it is blank; a
+    text without words and line feeds is one empty line.
+    """
+    # A run of whole words that fits and ends before a space, or else the next part of a word that doesn't fit.
+    whole = "(?<![^ ])[^ ]" + (f"(?:.{{0,{width - 2}}}[^ ])?" if width > 1 else "") + "(?= |$)"
+    pattern = F.lit(f"(?s){whole}|[^ ]{{1,{width}}}")
+    hard = F.split(spaces(text), "\n", -1)
+    last = F.size(hard) - 1
+
+    def lines(line, at):
+        plain = F.trim(F.regexp_replace(line, " +", " "))
+        ended = (plain == "") | (F.length(F.substring_index(plain, " ", -1)) > width)
+        blank = F.when(ended & ((at < last) | (last == 0) & (plain == "")), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.regexp_extract_all(plain, pattern, F.lit(0)), blank)
+
+    return F.flatten(F.transform(hard, lines))
+
+
 def roman(number: Column) -> Column:
     """Lower-case Roman numeral of 1 to 3999."""
     table = F.array(*(F.struct(F.lit(v).alias("value"), F.lit(t).alias("letters")) for v, t in ROMAN))

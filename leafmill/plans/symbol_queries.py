@@ -99,16 +99,21 @@ def word_tokens(spark, d):
 
 
 def word_wrap(spark, d):
-    lines = text.wrap(F.col("p_name"), 12)
+    lines = text.wrap_text(F.col("p_name"), 12)
     rows = table(spark, d, "part").select("p_partkey", F.posexplode(lines).alias("pos", "line"))
     return rows.select("p_partkey", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
+def word_wrap_documents(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(text.wrap_text(F.col("text"), 40)).alias("pos", "line"))
+    return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         gtin13_from_partkey, itf14_from_orderkey, ean5_from_price, ean2_parity, upce_canonical, code39_check, code128_mod103, gs1_build, gs1_parse,
-        gs1_payload, digital_link_path, sa_parity, list_markers, filters_asciihex, doc_fingerprint, word_tokens, word_wrap,
+        gs1_payload, digital_link_path, sa_parity, list_markers, filters_asciihex, doc_fingerprint, word_tokens, word_wrap, word_wrap_documents,
     )
 }
 

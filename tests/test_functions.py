@@ -1,5 +1,8 @@
 """Known values of the symbol and text functions."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,3 +51,45 @@ def test_markers(of):
 def test_wrap(of):
     assert of(text.wrap(F.lit("aa bb  cc dddddddd e"), 5)) == ["aa bb", "cc", "dddddddd", "e"]
     assert of(text.wrap(F.lit(""), 5)) == []
+
+
+def wrapped(value, width):
+    """Line by line and word by word, as the reference does."""
+    spaced = re.sub("[\\t\\v\\f \x85\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", " ", value.replace("\r\n", "\n").replace("\r", "\n"))
+    words = [w for i, line in enumerate(spaced.split("\n")) for w in ([None] * (i > 0) + line.split(" ")) if w != ""]
+    lines, line = [], ""
+    for word in words:
+        if word is None or line and len(line) + 1 + len(word) > width:
+            lines.append(line)
+            line = ""
+        if word is not None and len(word) > width:
+            lines += [word[at : at + width] for at in range(0, len(word), width)]
+        elif word is not None:
+            line = f"{line} {word}" if line else word
+    return lines + [line] if line or not words else lines
+
+
+def test_wrap_text_known(of):
+    assert of(text.wrap_text(F.lit("aa bb  cc dddddddd e"), 5)) == ["aa bb", "cc", "ddddd", "ddd", "e"]
+    assert of(text.wrap_text(F.lit("a\n\nb c\r\nd"), 5)) == ["a", "", "b c", "d"]
+    assert of(text.wrap_text(F.lit("abcdef\ng\n"), 4)) == ["abcd", "ef", "", "g"]
+    assert of(text.wrap_text(F.lit(""), 5)) == [""] and of(text.wrap_text(F.lit("\n"), 5)) == [""] and of(text.wrap_text(F.lit(None).cast("string"), 5)) is None
+
+
+def test_wrap_text_brute_force(spark):
+    rng = random.Random(5)
+    pieces = ["a", "bc", "déf", "日本語", "x" * 9, "\U0001f600" * 3, "\u00a0", " ", "  ", "\t", "\n", "\n\n", "\r\n", "\r", "\u2003", "\x85", "\u2028", "(", "\\"]
+    values = ["".join(rng.choices(pieces, k=rng.randint(0, 25))) for _ in range(600)]
+    frame = spark.createDataFrame([(v,) for v in values], "v string").coalesce(1)
+    for width in (1, 2, 3, 5, 12):
+        found = [r[0] for r in frame.select(text.wrap_text(F.col("v"), width)).collect()]
+        assert found == [wrapped(v, width) for v in values]
+
+
+def test_word_wrap_documents(spark):
+    from leafmill.plans import registry
+
+    small = "/root/testdata/sf0.001"
+    texts = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL").collect()
+    found = registry.queries()["word_wrap_documents"](spark, small).select("doc_id", "line_no", "line").collect()
+    assert sorted(map(tuple, found)) == sorted((r.doc_id, i, line) for r in texts for i, line in enumerate(wrapped(r.text, 40), 1))
