@@ -91,6 +91,15 @@ def paginate_rows(spark, d):
     return placed.groupBy(page.alias("page")).agg(F.count("*").alias("line_count"), F.min("o_orderkey").alias("first_order"), pages.alias("pages"))
 
 
+def table_autowidth(spark, d):
+    """The widest value, the longest of all words and the share of the room of each column."""
+    part = table(spark, d, "part").select(F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(f"p_{c}").alias("v")) for c in ("name", "brand", "type")))).alias("c")).select("c.col", "c.v")
+    word = F.array_max(F.transform(F.split("v", " "), lambda w: F.length(w)))
+    sizes = part.groupBy("col").agg(F.max(F.length("v")).cast("long").alias("widest"), F.max(word).cast("long").alias("longest_word"))
+    share = F.floor(F.lit(1000) * F.col("widest") / F.sum("widest").over(Window.partitionBy())).cast("long")
+    return sizes.select("col", "widest", "longest_word", share.alias("share"))
+
+
 # The next ones are plain SQL that both engines read alike.
 SAME = {
     "pie_slices": (
@@ -202,6 +211,7 @@ def same_query(name):
 QUERIES = {f.__name__: f for f in (revision_merge, heading_skip, stack_depth, carry_forward_state, unresolved_refs, used_only, range_semi, dup_texts, definition_consistency, partition_private_shared)}
 QUERIES |= {name: same_query(name) for name in SAME}
 QUERIES["paginate_rows"] = paginate_rows  # all orders; its SQL is over every fiftieth only
+QUERIES["table_autowidth"] = table_autowidth  # all words; its SQL looks at the first of each value only
 
 SQL = {
     "revision_merge": """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)

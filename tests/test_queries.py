@@ -88,3 +88,10 @@ def test_symbols_of_all_rows(spark, duck):
     found = QUERIES["itf_symbol"](spark, SMALL).collect()
     assert max(orders) > 400 and sorted(r.o_orderkey for r in found) == sorted(orders)
     assert all(r.runs == "".join(map(str, barcodes.itf_runs(f"{r.o_orderkey:014d}"))) for r in found)
+
+
+def test_table_autowidth_takes_all_words(spark, tmp_path):
+    rows = [("red", "B#1", "tin cold-rolled"), ("a lengthier name", "B", "x"), (None, "", None)]
+    spark.createDataFrame(rows, "p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["table_autowidth"](spark, str(tmp_path)).select("col", "widest", "longest_word", "share").collect()
+    assert sorted(map(tuple, found)) == [("brand", 3, 3, 88), ("name", 16, 9, 470), ("type", 15, 11, 441)]
