@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.operators import rules
+
 # Numbers of the checks of each clause, by the profile that brings them in.
 ARCHIVE_BASIC = """
 6.1.2 1-2; 6.1.3 1-3; 6.1.4 2; 6.1.6 1-2; 6.1.7.1 1-3; 6.1.7.2 1; 6.1.8 1; 6.1.9 1; 6.1.10 1; 6.1.12 1-2; 6.1.13 1-5,7-11;
@@ -48,6 +53,26 @@ def checks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "test_id string, profile string, clause string, status string")
 
 
+def evaluated(catalogue: DataFrame, rule_ids: Iterable[str]) -> DataFrame:
+    """The catalogue for accounting of files: a check that no rule evaluates is Deferred, so it never counts as passed."""
+    return catalogue.withColumn("status", F.when(F.col("test_id").isin(*rule_ids) | (F.col("status") == "OutOfScope"), F.col("status")).otherwise("Deferred"))
+
+
+def file_accounts(tables: dict[str, DataFrame], profiles: tuple[str, ...] = PROFILES) -> DataFrame:
+    """file, profile, test_id, clause, status, bucket of every readable file and profile, by the rules over its tables.
+
+    Checks without a rule are notEvaluated. A finding counts in the profiles its rule is for.
+    """
+    spark = tables["status"].sparkSession
+    known = evaluated(checks(spark), [r.rule_id for r in rules.RULES])
+    found = rules.assertions(tables, profiles).withColumnRenamed("doc_id", "file")
+    parts = []
+    for profile in profiles:
+        files = tables["status"].where("status = 'read'").select(F.col("doc_id").alias("file"), F.lit(profile).alias("profile"))
+        parts.append(accounted(known, files, found.where(F.col("profile") == profile)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def normal_rule(rule_id: Column) -> Column:
     """Without a prefix up to the first colon."""
     return F.regexp_replace(rule_id, "^[^:]*:", "")

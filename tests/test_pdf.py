@@ -94,3 +94,18 @@ def test_filters():
 def test_no_root_is_no_crash(spark):
     rows = tables.parsed(tables.from_bytes(spark, {"a": classic({1: b"<< >>"}, trailer=b"")})).collect()
     assert any(r.item == "status" for r in rows)
+
+
+def test_checks_without_a_rule_are_not_evaluated(found):
+    from leafmill.plans import catalogue
+
+    rows = catalogue.file_accounts(found).collect()
+    by_rule = {r.rule_id for r in rules.RULES}
+    assert len(by_rule) == 27 and by_rule <= {i for i, *_ in catalogue.entries()}
+    known = {(p, i) for i, profiles, *_ in catalogue.entries() for p in profiles}
+    names = {r.doc_id for r in found["status"].where("status = 'read'").collect()}
+    assert sorted((r.file, r.profile, r.test_id) for r in rows) == sorted((n, p, i) for n in names for p, i in known)
+    assert all(r.bucket == "notEvaluated" for r in rows if r.test_id not in by_rule)
+    wrong = {(r.doc_id, r.profile, r.rule_id) for r in rules.assertions(found).where("severity = 'Error'").collect()}
+    assert {(r.file, r.profile, r.test_id) for r in rows if r.bucket == "failed"} == wrong
+    assert any(r.bucket == "passed" for r in rows) and {r.bucket for r in rows if r.test_id in by_rule} <= {"passed", "failed"}
