@@ -22,15 +22,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return bayes_jaccard.one_of_each(docs)
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """With n_chars set to the length of the text, where there is such a column."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark and n_chars follows; all documents stay."""
-    clean = secret_cost.redacted(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType)) if "n_chars" in clean.columns else clean
+    return counted(secret_cost.redacted(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them; repeats are rows of their own."""
-    return mix_schedule.resampled(docs)
+    """Documents as often as the mix takes them, in its order; repeats are rows of their own, n_chars follows a cut."""
+    return counted(mix_schedule.resampled(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import claim, stored
@@ -59,13 +59,14 @@ def targets(sizes: list[tuple[str | None, int]], share: Fraction = Fraction(3, 2
     return [SourceTarget(s, n, found[s]) for s, n in ordered]
 
 
-def measured(documents: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size in words and the shuffle key of every document."""
+def measured(documents: DataFrame, seed: int, keyed: bool = False) -> DataFrame:
+    """doc_id, source, size in words and the shuffle key of every document; keyed also its row's key."""
     return documents.select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("draw"),
+        *([row_key().alias("key")] if keyed else []),
     )
 
 
@@ -125,22 +126,27 @@ def laid_out(sized: DataFrame) -> DataFrame:
     return joined.withColumn("begin", F.col("before") + F.col("inside")).drop("s", "b", "bucket", "before", "inside")
 
 
-def mixed(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def row_key() -> Column:
+    """The same for rows of the same id, source and text, null apart from empty."""
+    return F.md5(F.to_json(F.struct("doc_id", "source", F.md5("text").alias("text"))))
+
+
+def mixed(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents with what the mix takes of them, the schedule).
 
-    The first has doc_id, source, size, source_size, target, begin, quota and taken; taken is how many of the
+    The first has doc_id, source, size, place, source_size, target, begin, quota and taken, keyed also key; taken is how many of the
     document's words lie in blocks that the schedule takes, repeats counted. A null or blank text has size 0
     and nothing is taken of it. A null source is a source. Repeated rows are documents of their own; an empty
     table gives no rows.
     """
     spark = documents.sparkSession
-    sized = stored(measured(documents, seed), "sizes")  # narrow; the texts are read once
+    sized = stored(measured(documents, seed, keyed), "sizes")  # narrow; the texts are read once
     wanted = targets(source_sizes(sized))
     slots = schedule(spark, wanted, block_words)
     # The blocks that the schedule takes of each source, the last one cut at the quota; a row per source.
     covered = slots.groupBy("place").agg(F.count("*").alias("slots"))
     known = spark.createDataFrame([(i, t.source, t.size, t.target, t.quota) for i, t in enumerate(wanted)], "place int, name string, source_size long, target double, most long")
-    known = known.join(covered, "place", "left").select("name", "source_size", "target", F.least(F.col("most"), F.coalesce("slots", F.lit(0)) * block_words).alias("quota"))
+    known = known.join(covered, "place", "left").select("place", "name", "source_size", "target", F.least(F.col("most"), F.coalesce("slots", F.lit(0)) * block_words).alias("quota"))
     placed = laid_out(sized)
     placed = placed.join(known, placed.source.eqNullSafe(known.name)).drop("name", "draw")
     zero = F.lit(0).cast("long")
@@ -152,13 +158,10 @@ def mixed(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17)
 def mixed_blocks(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
     """(slot, place, rank, doc_id, first_word, last_word): the pieces of documents that each slot takes, in words."""
     placed, slots = mixed(documents, block_words, seed)
-    rows = placed.select("source").distinct().collect()
-    names = [(i, s) for i, s in enumerate(sorted((r["source"] for r in rows), key=lambda s: (s is None, s or "")))]
-    index = documents.sparkSession.createDataFrame(names, "place int, name string")
     twice = placed.where("size > 0").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("pass")).withColumn("at", F.col("begin") + F.col("pass") * F.col("source_size"))
     twice = twice.where("at < quota").withColumn("stop", F.least(F.col("at") + F.col("size"), F.col("quota")))
     block = F.explode(F.sequence((F.col("at") / block_words).cast("long"), ((F.col("stop") - 1) / block_words).cast("long"))).alias("rank")
-    pieces = twice.join(index, twice.source.eqNullSafe(index.name)).select("place", "doc_id", "at", "stop", block)
+    pieces = twice.select("place", "doc_id", "at", "stop", block)
     pieces = pieces.select("place", "rank", "doc_id", (F.greatest("at", F.col("rank") * block_words) - F.col("at")).alias("first_word"), (F.least("stop", (F.col("rank") + 1) * block_words) - F.col("at")).alias("last_word"))
     return slots.join(pieces, ["place", "rank"]).select("slot", "place", "rank", "doc_id", "first_word", "last_word")
 
@@ -169,11 +172,22 @@ def mix_query(documents: DataFrame) -> DataFrame:
 
 
 def resampled(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
-    """The documents as often as the mix takes most of them: 0, 1 or 2 times; columns stay as they are."""
-    placed, _ = mixed(documents, block_words, seed)
-    zero = F.lit(0).cast("long")
-    often = [(F.greatest(zero, F.least("size", F.col("quota") - F.col("source_size") * p - F.col("begin"))) * 2 >= F.col("size")).cast("int") for p in (0, 1)]
-    copies = placed.where("size > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max(often[0] + often[1]).alias("taken_times")).where("taken_times > 0")
+    """The documents as often as the mix takes them, in the order of the slots; columns stay as they are.
+
+    A document comes at the slot that takes the block it begins in. The one that crosses its source's quota is cut
+    after its last word within, so every source gives exactly its quota of words. Rows without words don't come.
+    """
+    placed, slots = mixed(documents, block_words, seed, keyed=True)
+    same = Window.partitionBy("key").orderBy("begin")
+    rows = placed.where("size > 0").withColumn("nth", F.row_number().over(same)).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("pass"))
+    rows = rows.withColumn("at", F.col("begin") + F.col("pass") * F.col("source_size")).where("at < quota")
+    rows = rows.select("key", "nth", "place", "at", F.least("size", F.col("quota") - F.col("at")).alias("words"), (F.col("at") < F.col("quota") - F.col("size") + 1).alias("whole"), (F.col("at") / block_words).cast("long").alias("rank"))
+    taken = F.struct("nth", "slot", "at", "words", "whole")
+    copies = rows.join(slots, ["place", "rank"]).groupBy("key").agg(F.collect_list(taken).alias("copies"))
     names = documents.columns
-    joined = documents.join(copies, documents.doc_id.eqNullSafe(copies.taken_id))
-    return joined.withColumn("taken_again", F.explode(F.sequence(F.lit(1), "taken_times"))).select(*[documents[n] for n in names])
+    numbered = documents.select(F.struct(*names).alias("row"), row_key().alias("key")).withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+    out = numbered.join(copies, "key").select("row", F.explode(F.filter("copies", lambda c: c["nth"] == F.col("nth"))).alias("c"))
+    # The words wanted, each with the white space before it.
+    parts = F.regexp_extract_all("row.text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    text = F.when(F.col("c.whole"), F.col("row.text")).otherwise(F.array_join(F.slice(parts, F.lit(1), F.col("c.words").cast("int")), ""))
+    return out.orderBy("c.slot", "c.at").select(*[text.alias(n) if n == "text" else F.col("row")[n].alias(n) for n in names])

@@ -334,6 +334,29 @@ def test_blocks_hold_what_is_taken(documents):
     assert all(r.taken <= 2 * r.size for r in rows)
 
 
+def test_resampled_follows_the_slots(spark):
+    rng = random.Random(3)
+    rows = [(i % 300, f"{i % 300}" + "".join(rng.choices([" ", "\n", "  "])[0] + "w" for _ in range((i % 300) * 7 % 41 if i % 300 % 50 else 900)), "abc"[i % 3]) for i in range(330)]
+    rows = [*rows, rows[0], (None, "no id here", None), (None, "another text", None), (9, None, "a"), (None, "", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = [tuple(r) for r in mix_schedule.resampled(frame, 16).collect()]
+    size = lambda text: len(re.findall(mix_schedule.WORD, text or ""))
+    wanted = mix_schedule.targets([(s, sum(size(t) for _, t, x in rows if x == s)) for s in ("a", "b", "c", None)])
+    for t in wanted:
+        assert sum(size(r[1]) for r in out if r[2] == t.source) == t.quota
+    assert len({r for r in out} - set(rows)) <= len(wanted)  # only the last of a source is cut
+    for doc_id, text, source in out:
+        assert any(d == doc_id and s == source and t and t.startswith(text) for d, t, s in rows)
+    pieces = mix_schedule.mixed_blocks(frame, 16).where("first_word = 0").orderBy("slot").select("doc_id", "slot").collect()
+    assert sorted(str(r[0]) for r in out) == sorted(str(r.doc_id) for r in pieces)
+    at = {}
+    for r in pieces:
+        at.setdefault(r.doc_id, set()).add(r.slot)
+    low = 0
+    for doc_id, *_ in out:  # slots never go down
+        low = min(s for s in at[doc_id] if s >= low)
+
+
 def test_pipeline_on_small_documents(spark):
     import corpus_pipeline
 
