@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-import weakref
-from collections.abc import Iterable, Iterator
+import re
+import tempfile
+import uuid
+from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HELD_OUT_REMAINDER = 2
+ENTRY_BYTES = 100  # what a place in a dictionary takes besides its key and value
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,85 +40,87 @@ def slices(texts: list[str | None], most_chars: int) -> Iterator[tuple[int, int]
         yield begin, len(texts)
 
 
-memories: weakref.WeakSet = weakref.WeakSet()
-owner = [""]
-
-
-def claim(operator: str) -> None:
-    """Called by a task before it uses memories: those of another operator's tasks in this process are let go."""
-    if owner[0] != operator:
-        for memory in list(memories):
-            memory.forget()
-        owner[0] = operator
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:  # give freed pages back where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):
-            pass
-
-
 class Memo(dict):
-    """A bounded memory of a pure function, in two generations: what is asked for again outlives a turn-over."""
+    """A memory of a pure function, bounded in bytes, in two generations: what is asked for again outlives a
+    turn-over. Keys longer than longest are computed anew each time, so long texts without blanks are never kept."""
 
-    def __init__(self, compute, most: int):
+    def __init__(self, compute, most_bytes: int, longest: int = 64):
         super().__init__()
-        self.compute, self.half, self.old = compute, most // 2, {}
-        memories.add(self)
-
-    def __hash__(self):
-        return id(self)
-
-    def forget(self) -> None:
-        self.clear()
-        self.old = {}
+        self.compute, self.half, self.longest, self.room, self.old = compute, most_bytes // 2, longest, most_bytes // 2, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.half:
-            self.old = dict(self)
+            if len(key) > self.longest:
+                return value
+        self.room -= getsizeof(key) + getsizeof(value) + ENTRY_BYTES
+        if self.room < 0:
+            self.old, self.room = dict(self), self.half
             self.clear()
         self[key] = value
         return value
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named, as in tests."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the cluster names. Where none is named, a folder of this machine serves a session that
+    runs in one process; on a cluster, where other executors couldn't read it, that is an error."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
-        known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="leafmill-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(known)
     return known
 
 
+written: list[str] = []
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame as a table in the shared folder and read it: later stages survive lost executors."""
-    import uuid
+    """Write a frame as a table in the shared folder and read it: later stages survive lost executors.
 
+    The table goes when the application ends, or earlier with `release`.
+    """
     spark = frame.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place, files = folder(spark, path)
+    files.deleteOnExit(place)
     frame.write.parquet(path)
+    written.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def bounded_sample(frame: DataFrame, key: str | Column, bounds: dict, group: str, seed: int = 7) -> DataFrame:
-    """About bounds[g] rows of each group g, chosen by a hash of key alone, so reruns agree.
+def folder(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that `stored` wrote after the first `since` ones; for callers that have their result."""
+    for path in written[since:]:
+        place, files = folder(spark, path)
+        files.delete(place, True)
+    del written[since:]
+
+
+def bounded_sample(frame: DataFrame, keys: list[str], bounds: dict, group: str, seed: int = 7) -> DataFrame:
+    """At most bounds[g][1] rows of each group g, those with the least hash of the keys, so reruns agree.
 
-    bounds maps a group's value to a pair (rows there are, rows wanted).
+    bounds maps a group's value to a pair (rows there are, rows wanted). A first cut by the hash is narrow; only
+    about twice the wanted rows are ranked, and every task passes on no more than are wanted.
     """
-    column = F.col(key) if isinstance(key, str) else key
-    draw = F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
+    draw = F.xxhash64(*keys, F.lit(seed))
+    share, most = F.lit(0.0), F.lit(0)
     for value, (there, wanted) in bounds.items():
-        share = F.when(F.col(group) == F.lit(value), F.lit(min(1.0, wanted / max(there, 1)))).otherwise(share)
-    return frame.where(draw < share)
+        share = F.when(F.col(group) == F.lit(value), F.lit(min(1.0, (2 * wanted + 50) / max(there, 1)))).otherwise(share)
+        most = F.when(F.col(group) == F.lit(value), F.lit(wanted)).otherwise(most)
+    largest = max((wanted for _, wanted in bounds.values()), default=0)
+    few = frame.where(F.pmod(draw, F.lit(1 << 30)) / float(1 << 30) < share)
+    order = Window.partitionBy(group).orderBy(draw, *keys)
+    nth = few.withColumn("nth_drawn", F.row_number().over(order)).where(F.col("nth_drawn") <= largest)
+    return nth.where(F.col("nth_drawn") <= most).drop("nth_drawn")
 
 
 def grouped(batches, keys: list[str]) -> Iterator[pa.Table]:

@@ -1,27 +1,29 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-A lattice of pieces is searched left to right. Only the positions that a piece could still start from are
-kept, a window bounded by the longest piece. Whenever the backpointer paths of all positions in the window meet
-in one boundary, the ids before it are final and are handed out. Unigram models choose the path of the
-largest score. BPE models have one valid path to every position: a piece may follow another only if merging
-their symbols by score leaves the two apart; so their paths meet as well, and the ids equal those of the
-merge procedure.
+A lattice of pieces is searched left to right, letter by letter. Only the positions that a piece could still start
+from survive, a window bounded by the longest piece. Whenever the backpointer paths of all surviving positions meet
+in one boundary, the ids before it are final and are committed. Unigram models choose the path of the largest score.
+BPE models have one valid path to every position: a piece may follow another only if merging their symbols by score
+leaves the two apart; so their paths meet as well, and the ids equal those of the merge procedure.
+
+What a letter does depends only on the window and the piece before it. Such states are compiled into tables when
+they are first met, so a letter of a long corpus costs one look-up: the next state and the ids committed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import Memo, claim
+from leafmill.llm.common import Memo
 
 SPACE = "▁"
-SEGMENTS_KEPT, PARTS_KEPT, PAIRS_KEPT, LONGEST_KEPT = 300_000, 80_000, 150_000, 80
+PAIR_BYTES, TABLE_BYTES = 24_000_000, 128_000_000
 # Kinds of pieces and of models in the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -65,17 +67,11 @@ class PieceModel:
         self.score = {p[0]: p[1] for p in pieces if p[2] == NORMAL}
         self.longest = max(map(len, self.id_of), default=1)
         self.least = min(self.score.values(), default=0.0)
-        self.free_cut = not any(SPACE in t.lstrip(SPACE) for t in self.id_of)
-        self.follows = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], PAIRS_KEPT)
-        self.stands = Memo(lambda piece: self.merged(piece) == [piece], PAIRS_KEPT)
-        self.packed_id = {t: i.to_bytes(4, "little") for t, i in self.id_of.items()}
-        self.touching = {t[i : i + 2] for t in self.id_of for i in range(len(t) - 1)}
-        self.ending = ahocorasick.Automaton()
-        for text in self.score:
-            self.ending.add_word(text, (text, len(text)))
-        self.ending.make_automaton()
-        self.packed = Memo(self.pack_segment, SEGMENTS_KEPT)
-        self.packed_part = Memo(self.pack_part, PARTS_KEPT)
+        self.heads = {t[:n] for t in self.score for n in range(1, len(t))}  # what may still grow into a piece
+        self.touching = {t[i : i + 2] for t in self.score for i in range(len(t) - 1)}
+        self.follows = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], PAIR_BYTES)
+        self.stands = Memo(lambda piece: self.merged(piece) == [piece], PAIR_BYTES // 4, self.longest)
+        self.tables = Tables(self)
         self.out = [self.bytes_of(text, kind) for text, _, kind in pieces]
 
     @classmethod
@@ -130,57 +126,16 @@ class PieceModel:
             return [found]
         return [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")] if self.byte_id else [self.unknown]
 
-    def pack_segment(self, segment: str) -> bytes:
-        """Two characters that touch in no piece have a boundary between them in which all paths meet."""
-        if len(segment) > LONGEST_KEPT:
-            return np.array(list(StreamingViterbi(self).whole(segment)), "<i4").tobytes()
-        cuts = [0, *(i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in self.touching), len(segment)]
-        return b"".join(map(self.packed_part.__getitem__, [segment[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]))
-
-    def pack_part(self, part: str) -> bytes:
-        """A short part in one go; the same lattice and choice as in StreamingViterbi."""
-        if self.kind != BPE or len(part) == 1:
-            return np.array(self.ids_of(part) if len(part) == 1 else list(StreamingViterbi(self).whole(part)), "<i4").tobytes()
-        last, done = [""] * (len(part) + 1), -1
-        follows, stands = self.follows, self.stands
-        for end, (piece, size) in self.ending.iter(part):
-            if end == done:
-                continue
-            if end + 1 > size:
-                if not follows[last[end + 1 - size], piece]:
-                    continue
-            elif not stands[piece]:
-                continue
-            last[end + 1], done = piece, end
-        packed, end = b"", len(part)
-        while end:
-            piece = last[end]
-            packed = self.packed_id[piece] + packed
-            end -= len(piece)
-        return packed
-
     def encode_packed(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        marked = self.prepared(text or "")
-        if not self.free_cut:
-            return np.array(list(StreamingViterbi(self).whole(marked)), "<i4").tobytes()
-        # No piece spans the start of a run of marks, so all paths meet there and segments are independent.
-        first, *rest = marked.split(SPACE)
-        run, segments = "", [first] if first else []
-        if "" in rest:
-            for part in rest:
-                run += SPACE
-                if part:
-                    segments.append(run + part)
-                    run = ""
-            if run:
-                segments.append(run)
-        else:
-            segments += [SPACE + part for part in rest]
-        packed = self.packed
-        if len(marked) > LONGEST_KEPT and max(map(len, segments)) > LONGEST_KEPT:
-            return b"".join(packed[s] if len(s) <= LONGEST_KEPT else self.pack_segment(s) for s in segments)
-        return b"".join(map(packed.__getitem__, segments))
+        state, out = self.tables.start, []
+        put = out.append
+        for letter in self.prepared(text or ""):
+            state, ids = state[letter]
+            if ids:
+                put(ids)
+        put(state.rest)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<i4").tolist()
@@ -192,84 +147,145 @@ class PieceModel:
 
 
 class StreamingViterbi:
-    """Takes a text in any chunks and hands out ids as soon as they are final."""
+    """Takes a text letter by letter and hands out ids as soon as they are final."""
 
-    def __init__(self, model: PieceModel):
+    __slots__ = ("model", "previous", "window", "back", "best", "alive")
+
+    def __init__(self, model: PieceModel, previous: str = "", window: str = "", back=(0,), best=(0.0,), alive=(0,)):
         self.model = model
-        self.window = ""  # characters after the last committed boundary
-        self.back = [0]  # for each position of the window, the position that its best or valid path comes from
-        self.best = [0.0]
-        self.previous = ""  # the piece that ends at the committed boundary
-        self.widest = 0  # the longest window so far
+        self.previous = previous  # the piece that ends at the committed boundary, while it could tell on the next ones
+        self.window = window  # letters after the last committed boundary
+        self.back = back  # for each position of the window, the position that its best or valid path comes from
+        self.best = best  # for unigram models, the score of that path
+        self.alive = alive  # the positions that a piece could still start from, the end last
 
-    def piece_before(self, position: int) -> str:
-        return self.window[self.back[position] : position] if position else self.previous
+    def again(self) -> StreamingViterbi:
+        return StreamingViterbi(self.model, self.previous, self.window, self.back, self.best, self.alive)
 
     def step(self, letter: str) -> None:
-        model = self.model
-        self.window += letter
-        end = len(self.window)
-        if model.kind == BPE:
-            for begin in range(max(0, end - model.longest), end):
-                piece = self.window[begin:end]
-                if piece not in model.score and begin < end - 1:
-                    continue
-                before = self.piece_before(begin)
-                if model.follows[before, piece] if before else model.stands[piece]:
-                    self.back.append(begin)
-                    return
-            raise ValueError("no piece can end here")
-        best, origin = -np.inf, end - 1
-        for begin in range(max(0, end - model.longest), end):
-            piece = self.window[begin:end]
+        """The path to the position after one more letter; only pieces from surviving positions can end there."""
+        model, window, back = self.model, self.window + letter, self.back
+        end, best, origin, alive = len(window), -np.inf, -1, []
+        previous = self.previous
+        if end == 1 and previous and previous[-1] + letter not in model.touching:
+            previous = ""  # no merge crosses the boundary
+        for begin in self.alive:
+            piece = window[begin:]
+            if piece in model.heads:
+                alive.append(begin)
             score = model.score.get(piece)
             if score is None:
                 if begin < end - 1:
                     continue
                 score = model.least - UNKNOWN_PENALTY
-            if self.best[begin] + score > best:
+            if model.kind == BPE:
+                before = window[back[begin] : begin] if begin else previous
+                if origin < 0 and (model.follows[before, piece] if before else model.stands[piece]):
+                    origin = begin
+            elif self.best[begin] + score > best:
                 best, origin = self.best[begin] + score, begin
-        self.best.append(best)
-        self.back.append(origin)
-
-    def commit(self, final: bool = False) -> Iterator[int]:
-        """Ids up to the boundary in which all surviving paths meet."""
-        end = len(self.window)
-        alive = {end} if final else set(range(max(0, end - self.model.longest + 1), end + 1))
-        while len(alive) > 1:
-            top = max(alive)
-            alive.remove(top)
-            alive.add(self.back[top])
-        boundary = alive.pop()
+        if origin < 0:
+            raise ValueError("no piece can end here")
+        self.window, self.back, self.alive = window, (*back, origin), (*alive, end)
+        if model.kind != BPE:
+            self.best = (*self.best, best)
+        self.previous = previous if alive and not alive[0] else ""  # unless a further piece starts at the boundary
+
+    def commit(self, final: bool = False) -> list[int]:
+        """Ids up to the boundary in which the paths of all surviving positions meet."""
+        window, back, end = self.window, self.back, len(self.window)
+        alive = [end] if final else [*self.alive]
+        while len(alive) > 1:  # the last one steps back until all are one
+            origin = back[alive.pop()]
+            at = len(alive)
+            while at and alive[at - 1] > origin:
+                at -= 1
+            if not at or alive[at - 1] != origin:
+                alive.insert(at, origin)
+        boundary = alive[0]
         if not boundary:
-            return
-        cuts = [boundary]
-        while cuts[-1]:
-            cuts.append(self.back[cuts[-1]])
-        cuts.reverse()
-        for begin, stop in zip(cuts, cuts[1:], strict=False):
-            yield from self.model.ids_of(self.window[begin:stop])
-        self.previous = self.window[cuts[-2] : boundary]
-        self.window = self.window[boundary:]
-        self.back = [0] + [b - boundary for b in self.back[boundary + 1 :]]
-        if self.model.kind != BPE:
-            self.best = [b - self.best[boundary] for b in self.best[boundary:]]
-
-    def push(self, chunk: str) -> Iterator[int]:
-        most = 2 * self.model.longest
-        for letter in chunk:
-            self.step(letter)
-            if len(self.window) >= most:
-                self.widest = max(self.widest, len(self.window))
-                yield from self.commit()
-                most = len(self.window) + self.model.longest
-
-    def finish(self) -> Iterator[int]:
-        yield from self.commit(final=True)
+            return []
+        ids, stop = [], boundary
+        while stop:
+            begin = back[stop]
+            ids[:0] = self.model.ids_of(window[begin:stop])
+            stop = begin
+        if self.model.kind == BPE:
+            piece, follows = window[back[boundary] : boundary], window[boundary : boundary + 1]
+            possible = boundary == end or self.alive[0] == boundary and piece[-1] + follows in self.model.touching
+            self.previous = piece if possible else ""
+        else:
+            self.best = tuple(b - self.best[boundary] for b in self.best[boundary:])
+        self.window = window[boundary:]
+        self.back = (0, *(b - boundary for b in back[boundary + 1 :]))
+        self.alive = tuple(p - boundary for p in self.alive)
+        return ids
+
+    def push(self, letter: str) -> list[int]:
+        self.step(letter)
+        return self.commit()
 
     def whole(self, text: str) -> Iterator[int]:
-        yield from self.push(text)
-        yield from self.finish()
+        for letter in text:
+            yield from self.push(letter)
+        yield from self.commit(final=True)
+
+
+class State(dict):
+    """A window of the search: letter -> (next state, packed ids that the letter commits)."""
+
+    __slots__ = ("tables", "stream")
+
+    def __init__(self, tables: Tables, stream: StreamingViterbi):
+        self.tables, self.stream = tables, stream
+
+    def __missing__(self, letter: str):
+        stream = self.stream.again()
+        ids = np.array(stream.push(letter), "<i4").tobytes()
+        found = self.tables.state(stream), ids
+        if self.tables.room(60 + (getsizeof(ids) if ids else 0)):
+            self[letter] = found
+        return found
+
+    @property
+    def rest(self) -> bytes:
+        """What the end of the text commits."""
+        return np.array(self.stream.again().commit(final=True), "<i4").tobytes()
+
+
+class Tables:
+    """The states met so far, bounded in bytes.
+
+    What is met when they are full is used once and let go; after many such steps, when the texts seem to be others,
+    the tables are begun anew.
+    """
+
+    def __init__(self, model: PieceModel):
+        self.known: dict[tuple[str, str], State] = {}
+        self.used = self.steps = self.passing = 0
+        self.start = State(self, StreamingViterbi(model))
+
+    def state(self, stream: StreamingViterbi) -> State:
+        key = stream.previous, stream.window
+        found = self.known.get(key)
+        if found is None:
+            found = State(self, stream)
+            if self.room(650 + 8 * len(stream.window)):  # the table, the texts and the places of the state
+                self.known[key] = found
+        return found
+
+    def room(self, size: int) -> bool:
+        if self.used + size <= TABLE_BYTES:
+            self.used += size
+            self.steps += 1
+            return True
+        self.passing += 1
+        if self.passing > 8 * self.steps:
+            for state in self.known.values():
+                state.clear()
+            self.start.clear()
+            self.known, self.used, self.steps, self.passing = {}, 0, 0, 0
+        return False
 
 
 @lru_cache(maxsize=2)
@@ -292,7 +308,6 @@ def encoded(documents: DataFrame, path: str | None = None, keep_text: bool = Fal
     path = path or default_path()
 
     def run(batches):
-        claim("pieces")
         pieces = model(path)
         for batch in batches:
             packed = [pieces.encode_packed(t) for t in batch.column("text").to_pylist()]
@@ -312,7 +327,6 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     others = [c for c in rows.columns if c not in ("ids", "decoded")]
 
     def run(batches):
-        claim("pieces")
         pieces = model(path)
         for batch in batches:
             texts = pa.array([pieces.decode(ids or ()) for ids in batch.column("ids").to_pylist()], pa.string())
@@ -331,7 +345,6 @@ def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches):
-        claim("pieces")
         pieces = model(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
