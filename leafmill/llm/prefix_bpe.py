@@ -1,27 +1,30 @@
 """Exact token counts of byte-level BPE by prefix dynamic programming.
 
 For every prefix of a word there is one token that can end its encoding: the one whose pairing with the
-token before it survives merging unchanged. A table of those last tokens gives the count of every prefix, so
-counts, truncation points and budgets are read off and no prefix is encoded again.
+token before it survives merging unchanged. So the count of a prefix follows from those of the few prefixes that a token
+could still start from. Such sets of prefixes are the states of a table that is compiled as it is met. Each text gets
+the counts of all of its prefixes; its own count, whether it is over a limit and where to cut it for a budget are
+read off them, and nothing is encoded again.
 """
 
 from __future__ import annotations
 
 import json
-import re as stdlib_re
 from functools import lru_cache
+from itertools import accumulate
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import Memo, claim
+from leafmill.llm.common import Memo
 
 # The split pattern of byte-level BPE vocabularies.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNKS_KEPT, WORDS_KEPT, PAIRS_KEPT = 600_000, 50_000, 300_000
-NOT_AFTER_CUT = stdlib_re.compile(r" (?:\s|$)")
+# Blanks with what follows them: the words before blanks don't depend on them.
+CHUNK_PATTERN = r"\s*\S+|\s+"
+CHUNK_BYTES, PAIR_BYTES, STATE_BYTES = 64_000_000, 24_000_000, 128_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -48,14 +51,37 @@ class PrefixCounter:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.special_strings = special
         self.words = regex.compile(WORD_PATTERN)
-        self.follows = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], PAIRS_KEPT)
-        self.stands = Memo(lambda token: self.merged(token) == [token], PAIRS_KEPT)
-        self.word_count = Memo(lambda word: self.last_tokens(word)[1][-1], WORDS_KEPT)
-        self.chunk_count = Memo(lambda chunk: self.count_chunk(" " + chunk), CHUNKS_KEPT)
-        self.ending = ahocorasick.Automaton()
-        for token in self.vocabulary:
-            self.ending.add_word(token, token)
-        self.ending.make_automaton()
+        self.follows = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], PAIR_BYTES)
+        self.stands = Memo(lambda token: self.merged(token) == [token], PAIR_BYTES // 4)
+        self.steps_of = Memo(self.chunk_steps, CHUNK_BYTES)
+        self.chunks = regex.compile(CHUNK_PATTERN)
+        self.heads = {t[:n] for t in self.vocabulary for n in range(1, len(t))}  # what may still grow into a token
+        self.touching = {t[i : i + 2] for t in self.vocabulary for i in range(len(t) - 1)}
+        self.states: dict[tuple, Prefixes] = {}
+        self.used = self.steps = self.passing = 0
+        self.start = Prefixes(self, "", ((0, "", 0),))
+
+    def state(self, text: str, held: tuple) -> Prefixes:
+        found = self.states.get((text, held))
+        if found is None:
+            found = Prefixes(self, text, held)
+            if self.room(400 + 130 * len(held)):
+                self.states[text, held] = found
+        return found
+
+    def room(self, size: int) -> bool:
+        """Whether the states still fit. What is met when they don't is used once and let go; after many such steps,
+        when the texts seem to be others, the states are begun anew."""
+        if self.used + size <= STATE_BYTES:
+            self.used += size
+            self.steps += 1
+            return True
+        self.passing += 1
+        if self.passing > 8 * self.steps:
+            for state in (self.start, *self.states.values()):
+                state.clear()
+            self.states, self.used, self.steps, self.passing = {}, 0, 0, 0
+        return False
 
     def merged(self, symbols: str) -> list[str]:
         """Merging by rank; only tokens and pairs of tokens come here."""
@@ -67,80 +93,108 @@ class PrefixCounter:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def last_tokens(self, word: str) -> tuple[list[str], list[int]]:
-        """For each prefix in bytes, its last token and its number of tokens."""
-        symbols = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        follows, stands = self.follows, self.stands
-        last, count, done = [""] * (len(symbols) + 1), [0] * (len(symbols) + 1), -1
-        for end, token in self.ending.iter(symbols):
-            begin = end + 1 - len(token)
-            if end != done and (follows[last[begin], token] if begin else stands[token]):
-                last[end + 1], count[end + 1], done = token, count[begin] + 1, end
-        return last, count
-
-    def count_chunk(self, chunk: str) -> int:
-        return sum(map(self.word_count.__getitem__, self.words.findall(chunk)))
-
-    def count_plain(self, text: str) -> int:
-        """Words never span a space that a non-space follows, so texts are cut there and chunks remembered."""
-        first, *rest = text.split(" ")
-        if NOT_AFTER_CUT.search(text):
-            cut = [first]
-            for part in rest:
-                if not part or part[0].isspace():
-                    cut[-1] += " " + part
-                else:
-                    cut.append(part)
-            first, rest = cut[0], cut[1:]
-        return (self.count_chunk(first) if first else 0) + sum(map(self.chunk_count.__getitem__, rest))
+    def word_steps(self, word: str) -> list[int]:
+        """The change of a word's count with each letter."""
+        state, steps = self.start, []
+        for letter in word:
+            state, step = state[letter]
+            steps.append(step)
+        return steps
+
+    def chunk_steps(self, chunk: str) -> bytes:
+        if "'" in chunk or chunk[1:2].isspace():  # prefixes of these can have other words
+            return np.diff(np.array(self.plain_prefixes(chunk), "<i4")).tobytes()
+        steps = []
+        for word in self.words.findall(chunk):
+            state = self.start
+            for letter in word:
+                state, step = state[letter]
+                steps.append(step)
+        return np.array(steps, "<i4").tobytes()
 
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if self.special is None or not any(s in text for s in self.special_strings):
-            return self.count_plain(text)
-        return sum(1 if at % 2 else self.count_plain(piece) for at, piece in enumerate(self.special.split(text)) if piece)
+    def plain_table(self, text: str) -> np.ndarray:
+        """The counts of all prefixes but the empty one, of a text without special strings."""
+        steps = b"".join(map(self.steps_of.__getitem__, self.chunks.findall(text)))
+        return np.cumsum(np.frombuffer(steps, "<i4"), dtype="i8")
 
-    def prefix_counts(self, text: str | None) -> list[int]:
+    def table(self, text: str | None) -> np.ndarray:
         """counts[k] is the number of tokens that text[:k] has when it stands alone, k in code points."""
         text = text or ""
-        pieces = self.special.split(text) if self.special else [text]
-        counts, done = [0], 0
-        for at, piece in enumerate(pieces):
-            if at % 2:
-                before = pieces[at - 1]
-                inside = [done + c for c in self.plain_prefixes(before + piece)[len(before) + 1 : -1]]
-                done = counts[-1]
-                counts += [*inside, done + 1]
+        special = self.special is not None and any(s in text for s in self.special_strings)
+        counts, base, done, before = [np.zeros(1, "i8")], 0, 0, ""
+        for at, piece in enumerate(self.special.split(text) if special else [text]):
+            if at % 2:  # a special string; a prefix that ends inside has a beginning of it as plain text
+                counts += [base + self.plain_table(before + piece)[len(before) : -1], np.array([done + 1])]
                 done += 1
-            else:
-                counts += [done + c for c in self.plain_prefixes(piece)[1:]]
-        return counts
+                continue
+            base, before = done, piece
+            if piece:
+                counts.append(base + self.plain_table(piece))
+                done = int(counts[-1][-1])
+        return np.concatenate(counts)
+
+    def count(self, text: str | None) -> int:
+        return int(self.table(text)[-1])
 
     def plain_prefixes(self, text: str) -> list[int]:
+        """The counts of all prefixes, also where a prefix alone has other words than the text: in runs of blanks, which
+        keep the last one for the word that follows, and in contractions."""
         counts, blank, base = [0], None, 0
         for match in self.words.finditer(text):
             begin, word = match.start(), match.group()
-            offset, by_byte, ends = 0, self.last_tokens(word)[1], []
-            for letter in word:
-                offset += len(letter.encode("utf-8", "surrogatepass"))
-                ends.append(base + by_byte[offset])
+            ends = [base + n for n in accumulate(self.word_steps(word))]
             total = ends[-1]
             after_blank = blank is not None and blank[1] == begin and word[0].isspace()
             if after_blank:
-                ends[0] = blank[2] + self.word_count[text[blank[0] : begin + 1]]
+                ends[0] = blank[2] + sum(self.word_steps(text[blank[0] : begin + 1]))
             if len(word) == 3 and word in ("'re", "'ve", "'ll"):
-                ends[1] = base + self.count_chunk(word[:2])
+                ends[1] = base + sum(sum(self.word_steps(w)) for w in self.words.findall(word[:2]))
             run = blank if after_blank else (begin, begin, base)
             blank = (run[0], match.end(), run[2]) if word.isspace() else None
             counts += ends
             base = total
         return counts
 
-    def truncate(self, text: str | None, budget: int) -> str:
-        """The longest prefix whose own encoding has at most budget tokens."""
-        counts = self.prefix_counts(text)
-        return (text or "")[: max(k for k, c in enumerate(counts) if c <= max(budget, 0))]
+    def truncate(self, text: str | None, budget: int) -> tuple[str, int]:
+        """The longest prefix whose own encoding has at most budget tokens, and its count."""
+        counts = self.table(text)
+        end = int(np.flatnonzero(counts <= max(budget, 0))[-1])
+        return (text or "")[:end], int(counts[end])
+
+
+class Prefixes(dict):
+    """What the count of longer prefixes of a word depends on: letter -> (next state, change of the count).
+
+    held has, for each position that a token could still start from, how many symbols lie behind it, the token that
+    ends there (empty if no merge crosses the position) and its count less that of the whole; text is what lies behind
+    the first of them.
+    """
+
+    __slots__ = ("counter", "text", "held")
+
+    def __init__(self, counter: PrefixCounter, text: str, held: tuple):
+        self.counter, self.text, self.held = counter, text, held
+
+    def __missing__(self, letter: str):
+        counter, text, held, change = self.counter, self.text, self.held, 0
+        for symbol in letter.encode("utf-8", "surrogatepass").decode("latin-1").translate(counter.letters):
+            text += symbol
+            token, alive = "", []
+            for behind, last, count in held:
+                if last and not behind and last[-1] + symbol not in counter.touching:
+                    last = ""
+                piece = text[len(text) - behind - 1 :]
+                if not token and piece in counter.vocabulary and (counter.follows[last, piece] if last else counter.stands[piece]):
+                    token, step = piece, count + 1
+                if piece in counter.heads:
+                    alive.append((behind + 1, last, count))
+            held = (*((n, last, count - step) for n, last, count in alive), (0, token, 0))
+            text = text[len(text) - held[0][0] :]
+            change += step
+        found = counter.state(text, held), change
+        if counter.room(60):
+            self[letter] = found
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -164,11 +218,10 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = 512
     path = path or default_path()
 
     def run(batches):
-        claim("prefix_bpe")
         tokens = counter(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            counted = pa.array([tokens.count(t) for t in texts], pa.int64())
+            counted = pa.array([tokens.count(t) for t in texts], pa.int64())  # the last place of each text's table
             size = pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), size, counted, pa.array([c > limit for c in counted.to_pylist()], pa.bool_())],
@@ -180,16 +233,19 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = 512
 
 
 def truncated(documents: DataFrame, budget: int, path: str | None = None) -> DataFrame:
-    """doc_id, the longest prefix of each text within budget tokens, and that prefix's count; null text: empty."""
+    """doc_id, the longest prefix of each text within budget tokens, and that prefix's count, both read off its table.
+
+    A null or empty text, and any with a budget of 0, gives an empty one. Repeated rows give repeated results, a null
+    doc_id stays null, further columns are ignored, an empty table gives no rows.
+    """
     path = path or default_path()
 
     def run(batches):
-        claim("prefix_bpe")
         tokens = counter(path)
         for batch in batches:
             kept = [tokens.truncate(t, budget) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(kept, pa.string()), pa.array([tokens.count(t) for t in kept], pa.int64())],
+                [batch.column("doc_id"), pa.array([t for t, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())],
                 names=["doc_id", "text", "n_tokens"],
             )
 
