@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Memo, claim, grouped, runs, slices, stored
+from leafmill.llm.common import Memo, grouped, runs, slices, stored
 from leafmill.llm.components import components
 
 WORDS = 5
@@ -28,9 +28,9 @@ TOLERANCE = 1e-7
 BUCKET_CHUNK, GROUP_CHUNK = 1024, 256
 FEW = 8
 SLICE_CHARS = 3_000_000
-WORDS_KEPT = 200_000
+WORD_BYTES = 32_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-word_hashes = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), WORDS_KEPT)
+word_hashes = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), WORD_BYTES)
 
 
 def shingle_hashes(texts: list[str | None], width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +145,6 @@ def signature_table(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (128 bits of the shingle set), bands and signature (16 bits a value)."""
 
     def run(batches):
-        claim("jaccard")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for begin, end in slices(texts, SLICE_CHARS):
@@ -187,7 +186,6 @@ def tied(bucketed: DataFrame) -> DataFrame:
     keys = ["band", "key", "a", "b"]
 
     def run(batches):
-        claim("jaccard")
         least = least_matches()
         for table in grouped(batches, keys):
             begins, ends = runs(table, keys)
@@ -225,7 +223,6 @@ def with_shingles(rows: DataFrame) -> DataFrame:
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches):
-        claim("jaccard")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for begin, end in slices(texts, SLICE_CHARS):
@@ -265,7 +262,6 @@ def verified(members: DataFrame) -> DataFrame:
     keys = ["grp", "a", "b"]
 
     def run(batches):
-        claim("jaccard")
         least = least_matches()
         for table in grouped(batches, keys):
             docs_out, root_out, links_out = [], [], []

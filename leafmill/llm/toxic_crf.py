@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Memo, bounded_sample, claim, held_out, slices
+from leafmill.llm.common import Memo, bounded_sample, held_out, slices, stored
 
 BUCKETS = 1 << 18
 BLOCK = 64
-WORDS_KEPT = 500_000
+WORD_BYTES = 64_000_000
 SLICE_CHARS = 3_000_000
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 WORD = re.compile(r"\S+")
@@ -113,7 +113,7 @@ class ToxicModel:
     judge: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0.0, 0.0]))
 
     def __post_init__(self):
-        self.scores = Memo(lambda chunk: self.bias + sum(float(self.weights[bucket(t)]) for t in traits(core(chunk))), WORDS_KEPT)
+        self.scores = Memo(lambda chunk: self.bias + sum(float(self.weights[bucket(t)]) for t in traits(core(chunk))), WORD_BYTES)
 
     def __getstate__(self):
         return {k: getattr(self, k) for k in ("weights", "bias", "start", "step", "judge")}
@@ -155,13 +155,13 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(found @ self.judge, -30, 30))), spans
 
 
-def without_copies(rows: list) -> list:
-    """Leaves out texts that share much of a small sketch of their words with an earlier text."""
+def without_copies(rows: list, most_shared: float) -> list:
+    """Leaves out texts that share more than most_shared of a small sketch of their words with earlier texts."""
     seen: set[int] = set()
     kept = []
     for row in rows:
         sketch = sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in row["text"].split()})[:6]
-        if sketch and sum(s in seen for s in sketch) * 2 < len(sketch):
+        if sketch and sum(s in seen for s in sketch) <= most_shared * len(sketch):
             kept.append(row)
         seen.update(sketch)
     return kept
@@ -183,23 +183,30 @@ def evidence(texts: list[set[str]], toxic: np.ndarray) -> set[str]:
     return {t for t, n in several.items() if n > 4 * share * (n + outside[t]) / (1 + 3 * share) and gain(n, outside[t]) > need}
 
 
-def train(documents: DataFrame, marks: DataFrame, per_label: int = 3000, rounds: int = 60, longest: int = 60_000, seed: int = 5) -> ToxicModel:
-    """Fits on a bounded sample of the labelled rows: about per_label toxic documents and twice as many others, drawn
-    by a hash of doc_id from marks (doc_id, toxic), less those of more than longest characters. Without rows
-    of both labels the model gives every text the same low score."""
+def train(documents: DataFrame, marks: DataFrame, per_label: int = 3000, rounds: int = 60, longest: int = 60_000, most_chars: int = 40_000_000, most_shared: float = 0.34, seed: int = 5) -> ToxicModel:
+    """Fits on a bounded sample of the labelled rows: at most per_label toxic documents and twice as many others, drawn
+    by a hash of doc_id from marks (doc_id, toxic), less those of more than longest characters. Of texts that
+    share more than most_shared of a six-word sketch with an earlier one, near copies mostly, the first stays, so that
+    a text of many copies is evidence once; at most about most_chars characters come to the driver. Without rows of
+    both labels the model gives every text the same low score."""
     marks = marks.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     there = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(there) < 2:
         return ToxicModel()
     wanted = {1: per_label, 0: 2 * per_label}
-    # At most about 3 * per_label ids, so they can go to every executor and no text is shuffled.
-    drawn = F.broadcast(bounded_sample(marks, "doc_id", {v: (n, wanted[v]) for v, n in there.items()}, "toxic", seed))
-    rows = documents.where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(drawn, "doc_id").select("text", "toxic").toLocalIterator()
-    rows = without_copies(sorted(({"text": r["text"], "toxic": r["toxic"]} for r in rows), key=lambda r: (zlib.crc32(r["text"].encode("utf-8", "surrogatepass")), r["text"])))
+    # At most 3 * per_label ids, so they can go to every executor; texts are read in parallel, and of repeated ids no more come.
+    drawn = F.broadcast(bounded_sample(marks, ["doc_id"], {v: (n, wanted[v]) for v, n in there.items()}, "toxic", seed))
+    texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text").join(drawn, "doc_id")
+    texts = stored(bounded_sample(texts, ["doc_id", "text"], {v: (1, wanted[v]) for v in there}, "toxic", seed).select("text", "toxic"), "toxicity-sample")
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > most_chars:
+        texts = texts.where(F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.lit(1 << 30)) < int(most_chars / size * (1 << 30)))
+    rows = ({"text": r["text"], "toxic": r["toxic"]} for r in texts.toLocalIterator())
+    rows = without_copies(sorted(rows, key=lambda r: (zlib.crc32(r["text"].encode("utf-8", "surrogatepass")), r["text"])), most_shared)
     label = np.array([r["toxic"] for r in rows], bool)
     if label.all() or not label.any():
         return ToxicModel()
-    cores = Memo(core, 1 << 20)
+    cores = Memo(core, WORD_BYTES)
     texts = [[cores[w] for w in r["text"].split()] for r in rows]
     marks = evidence([set(t) for t in texts], label)
     index: dict[str, int] = {}
@@ -268,7 +275,6 @@ def scored(documents: DataFrame, model: ToxicModel, threshold: float = 0.3) -> D
     sent = documents.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS
 
     def run(batches):
-        claim("toxicity")
         known = sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
