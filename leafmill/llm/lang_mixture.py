@@ -9,6 +9,8 @@ each word together gains less than the penalty over the best single language, no
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
@@ -17,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import bounded_sample, claim, held_out, memories, slices
+from leafmill.llm.common import ENTRY_BYTES, bounded_sample, held_out, slices, stored
 
 UNDETERMINED = "und"
 # A run of letters longer than this counts as several words, so that a word's arrays stay small.
-LETTERS = re.compile(r"[^\W\d_]{1,4096}")
+# \w also takes number signs such as ² or Ⅷ, which are no letters.
+NUMBER_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c)[0] != "L")
+LETTERS = re.compile(rf"[^\W\d_{NUMBER_SIGNS}]{{1,4096}}")
 BUCKETS = 1 << 17
-CHUNKS_KEPT = 150_000
+CHUNK_BYTES, LONGEST_KEPT = 40_000_000, 64
 SLICE_CHARS, BATCH_CHARS = 2_000_000, 130_000
 # Odd factors of a multiply-shift hash of code points.
 FACTORS = np.random.default_rng(5).integers(1 << 63, size=6, dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -54,7 +58,7 @@ class LanguageModel:
     def __post_init__(self):
         self.padded = np.vstack([self.table, np.zeros((1, self.table.shape[1]))]).astype("f4")
         self.chunks: dict[str, bytes] = {}
-        memories.add(self)
+        self.used, self.passing = 0, []
 
     def __getstate__(self):
         return {"languages": self.languages, "table": self.table, "prior": self.prior}
@@ -63,9 +67,6 @@ class LanguageModel:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def forget(self) -> None:
-        self.chunks = {}
-
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-likelihoods of words. Grams overlap, each letter counts in two, so their sum is halved."""
         found = np.empty((len(words), len(self.languages)), "f4")
@@ -75,10 +76,14 @@ class LanguageModel:
         return found
 
     def learn_chunks(self, wanted: set[str]) -> None:
-        """Puts the packed scores of the words of each chunk (what stands between two blanks) into the memory."""
+        """Puts the packed scores of the words of each chunk (what stands between two blanks) into the memory, which is
+        bounded in bytes between two calls; long chunks stay for one call."""
+        for chunk in self.passing:
+            del self.chunks[chunk]
+        if self.used > CHUNK_BYTES:
+            self.chunks, self.used = {}, 0
         new = [c for c in wanted if c not in self.chunks]
-        if len(self.chunks) + len(new) > CHUNKS_KEPT:
-            self.chunks = {c: self.chunks[c] for c in wanted if c in self.chunks}
+        self.passing = [c for c in new if len(c) > LONGEST_KEPT]
         words = [LETTERS.findall(c.lower()) for c in new]
         packed = self.word_scores([w for ws in words for w in ws]).tobytes()
         at, width = 0, 4 * len(self.languages)
@@ -86,6 +91,8 @@ class LanguageModel:
             end = at + width * len(ws)
             self.chunks[chunk] = packed[at:end]
             at = end
+            if len(chunk) <= LONGEST_KEPT:
+                self.used += sys.getsizeof(chunk) + sys.getsizeof(self.chunks[chunk]) + ENTRY_BYTES
 
     def predict(self, texts: list[str | None], penalty: float, rounds: int) -> tuple[list[str], list[float], list[list[tuple[str, float]]]]:
         k = len(self.languages)
@@ -144,16 +151,18 @@ class LanguageModel:
         return chosen, share.tolist()
 
 
-def train(labelled: DataFrame, per_language: int = 1500, seed: int = 11) -> LanguageModel:
-    """Fits on a bounded sample: about per_language texts of each non-null language, drawn by a hash of the text.
+def train(labelled: DataFrame, per_language: int = 1500, longest: int = 200_000, seed: int = 11) -> LanguageModel:
+    """Fits on a bounded sample: at most per_language texts of each non-null language, those with the least hash of
+    doc_id and text, of at most longest characters.
 
     Without any labelled text the model has no language and every prediction is `und`.
     """
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= 200_000)).select("text", "lang")
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text", "lang")
     there = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not there:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    rows = bounded_sample(labelled, "text", {v: (n, per_language) for v, n in there.items()}, "lang", seed).toLocalIterator()
+    drawn = bounded_sample(labelled, ["doc_id", "text"], {v: (n, per_language) for v, n in there.items()}, "lang", seed)
+    rows = stored(drawn.select("text", "lang"), "language-sample").toLocalIterator()  # drawn in parallel, read one part at a time
     languages = sorted(there)
     counts = {v: Counter() for v in languages}
     for row in rows:
@@ -184,7 +193,6 @@ def identify(documents: DataFrame, model: LanguageModel, penalty: float = 3.0, r
     wanted = ["doc_id", *[c for c in keep if c != "doc_id"]]
 
     def run(batches):
-        claim("language")
         known = sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -206,7 +214,6 @@ def with_language(documents: DataFrame, model: LanguageModel, penalty: float = 3
     names = documents.columns
 
     def run(batches):
-        claim("language")
         known = sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()

@@ -16,7 +16,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import claim
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -192,7 +191,6 @@ def scanned(documents: DataFrame, least: float = 9.0) -> DataFrame:
     nothing = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
-        claim("secrets")
         for batch in batches:
             column = batch.column("text")
             counts, digests, texts = ([], [], []), [], []
@@ -214,7 +212,6 @@ def redacted(documents: DataFrame, least: float = 9.0, mark: str = "[SECRET]") -
     names = documents.columns
 
     def run(batches):
-        claim("secrets")
         for batch in batches:
             column = batch.column("text")
             may = candidates(column)

@@ -40,14 +40,30 @@ def test_token_counts_equal_the_library(documents, texts):
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(texts[r.doc_id].encode()), n > 512)
 
 
-def test_prefix_counts_equal_encoding_each_prefix():
+def test_prefix_counts_equal_encoding_each_prefix(texts):
     library, counter = Tokenizer.from_file(prefix_bpe.default_path()), prefix_bpe.counter(prefix_bpe.default_path())
-    for text in odd_texts(80, 3):
-        counts = counter.prefix_counts(text)
+    odd = [*odd_texts(120, 3), "a\x1c b\x85 c", "x \u3000 y", "it's we've  \n they'll", *(t[:150] for t in list(texts.values())[:30])]
+    for text in odd:
+        counts = counter.table(text).tolist()
         assert counts == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
-        assert counter.count(text) == counts[-1]
-        kept = counter.truncate(text, 10)
-        assert counter.count(kept) <= 10
+        for budget in (0, 1, 10, 1000):
+            kept, n = counter.truncate(text, budget)
+            assert len(kept) == max(k for k, c in enumerate(counts) if c <= budget) and n == counts[len(kept)]
+
+
+def test_truncated_rows(spark):
+    library = Tokenizer.from_file(prefix_bpe.default_path())
+    rows = [(1, "one two three", 1), (1, "one two three", 1), (2, None, 1), (3, "", 1), (None, "é😀 " * 50, 1), (4, "日本" * 300, 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    whole = {(d, t or "") for d, t, _ in rows}
+    for budget in (0, 2, 40):
+        out = prefix_bpe.truncated(table, budget).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            text = next(t for d, t in whole if d == r.doc_id)
+            n = [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+            assert text.startswith(r.text) and len(r.text) == max(k for k, c in enumerate(n) if c <= budget) and r.n_tokens == n[len(r.text)]
+    assert prefix_bpe.truncated(table.where("false"), 5).count() == 0
 
 
 def test_pieces_equal_the_library(texts):
@@ -57,12 +73,35 @@ def test_pieces_equal_the_library(texts):
         assert ids == library.encode(text) and own.decode(ids) == library.decode(ids)
 
 
-def test_streaming_window_is_bounded():
+def test_ids_come_from_commits_in_a_bounded_window(texts):
     own = piece_stream.model(piece_stream.default_path())
-    stream = piece_stream.StreamingViterbi(own)
-    text = own.prepared("aeroplane==representation\n" * 300)
-    assert list(stream.whole(text)) == own.encode("aeroplane==representation\n" * 300)
-    assert stream.widest <= 4 * own.longest
+    for text in ["aeroplane==representation\n" * 100, *odd_texts(20, 8), *list(texts.values())[:10]]:
+        stream, state, committed, widest = piece_stream.StreamingViterbi(own), own.tables.start, [], 0
+        for letter in own.prepared(text):
+            ids = stream.push(letter)
+            state, packed = state[letter]
+            assert np.frombuffer(packed, "<i4").tolist() == ids  # the tables hold what the search commits
+            assert stream.alive[-1] == len(stream.window) and len(stream.window) - stream.alive[0] <= own.longest
+            widest = max(widest, len(stream.window))
+            committed += ids
+        assert committed + stream.commit(final=True) == own.encode(text)
+        assert widest <= 2 * own.longest
+
+
+def test_full_tables_change_nothing(texts, monkeypatch):
+    pieces = piece_stream.model(piece_stream.default_path())
+    monkeypatch.setattr(piece_stream, "TABLE_BYTES", 20_000)
+    tables, pieces.tables = pieces.tables, piece_stream.Tables(pieces)
+    small = [pieces.encode(t) for t in list(texts.values())[:20]]
+    pieces.tables = tables
+    assert small == [pieces.encode(t) for t in list(texts.values())[:20]]
+
+
+def test_decoded_rows(spark):
+    rows = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, None, "y"), (3, "é😀", None)], "doc_id long, text string, decoded string")
+    back = piece_stream.decoded(piece_stream.encoded(rows))
+    assert sorted((r.doc_id, r.decoded) for r in back.collect()) == [(1, "a b"), (1, "a b"), (2, ""), (3, "é😀")]
+    assert piece_stream.decoded(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).first().decoded == ""
 
 
 def test_unigram_path_has_the_best_score():
