@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 GOLDEN = 0x9E3779B97F4A7C15  # 2**64 over the golden ratio
 BLOCK_WORDS = 1024
 SLOTS_IN_RUN = 1 << 16
-SHUFFLE_BUCKET = 3  # hexadecimal digits: 4096 buckets a source
+SHUFFLE_BUCKET = 4  # hexadecimal digits: 65,536 buckets a source
 MOST_SOURCES = 200_000
 
 
@@ -65,7 +65,8 @@ def measured(documents: DataFrame, seed: int, keyed: bool = False) -> DataFrame:
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("draw"),
+        # The text counts too, so that rows without an id don't share one key.
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))).alias("draw"),
         *([row_key().alias("key")] if keyed else []),
     )
 
@@ -131,43 +132,52 @@ def row_key() -> Column:
 
 
 def mixed(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(documents with what the mix takes of them, the schedule).
+    """(documents laid out in their sources, the schedule).
 
-    The first has doc_id, source, size, place, source_size, target, begin, quota and taken, keyed also key; taken is how many of the
-    document's words lie in blocks that the schedule takes, repeats counted. A null or blank text has size 0
-    and nothing is taken of it. A null source is a source. Repeated rows are documents of their own; an empty
-    table gives no rows.
+    The first has doc_id, source, size, place, source_size, target, begin and quota, keyed also key. A null or blank
+    text has size 0. A null source is a source. Repeated rows are documents of their own; an empty table gives no rows.
     """
     spark = documents.sparkSession
     sized = stored(measured(documents, seed, keyed), "sizes")  # narrow; the texts are read once
     wanted = targets(source_sizes(sized))
-    slots = schedule(spark, wanted, block_words)
-    # The blocks that the schedule takes of each source, the last one cut at the quota; a row per source.
-    covered = slots.groupBy("place").agg(F.count("*").alias("slots"))
-    known = spark.createDataFrame([(i, t.source, t.size, t.target, t.quota) for i, t in enumerate(wanted)], "place int, name string, source_size long, target double, most long")
-    known = known.join(covered, "place", "left").select("place", "name", "source_size", "target", F.least(F.col("most"), F.coalesce("slots", F.lit(0)) * block_words).alias("quota"))
+    known = spark.createDataFrame([(i, t.source, t.size, t.target, t.quota) for i, t in enumerate(wanted)], "place int, name string, source_size long, target double, quota long")
     placed = laid_out(sized)
-    placed = placed.join(known, placed.source.eqNullSafe(known.name)).drop("name", "draw")
-    zero = F.lit(0).cast("long")
-    first = F.greatest(zero, F.least("size", F.col("quota") - F.col("begin")))
-    second = F.greatest(zero, F.least("size", F.col("quota") - F.col("source_size") - F.col("begin")))
-    return placed.withColumn("taken", first + second), slots
+    return placed.join(known, placed.source.eqNullSafe(known.name)).drop("name", "draw"), schedule(spark, wanted, block_words)
+
+
+def pieces(placed: DataFrame, block_words: int) -> DataFrame:
+    """What each block holds of each document: rank, first_word and last_word, with the columns of placed.
+
+    A source is laid end to end as often as its quota asks for; the last block ends at the quota.
+    """
+    passes = F.explode(F.array(F.lit(0), F.lit(1))).alias("pass")
+    rows = placed.where("size > 0").select("*", passes).withColumn("at", F.col("begin") + F.col("pass") * F.col("source_size"))
+    rows = rows.where("at < quota").withColumn("stop", F.least(F.col("at") + F.col("size"), F.col("quota")))
+    rows = rows.withColumn("rank", F.explode(F.sequence((F.col("at") / block_words).cast("long"), ((F.col("stop") - 1) / block_words).cast("long"))))
+    first, last = F.greatest("at", F.col("rank") * block_words) - F.col("at"), F.least("stop", (F.col("rank") + 1) * block_words) - F.col("at")
+    return rows.withColumn("first_word", first).withColumn("last_word", last).drop("at", "stop", "pass")
 
 
 def mixed_blocks(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
     """(slot, place, rank, doc_id, first_word, last_word): the pieces of documents that each slot takes, in words."""
     placed, slots = mixed(documents, block_words, seed)
-    twice = placed.where("size > 0").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("pass")).withColumn("at", F.col("begin") + F.col("pass") * F.col("source_size"))
-    twice = twice.where("at < quota").withColumn("stop", F.least(F.col("at") + F.col("size"), F.col("quota")))
-    block = F.explode(F.sequence((F.col("at") / block_words).cast("long"), ((F.col("stop") - 1) / block_words).cast("long"))).alias("rank")
-    pieces = twice.select("place", "doc_id", "at", "stop", block)
-    pieces = pieces.select("place", "rank", "doc_id", (F.greatest("at", F.col("rank") * block_words) - F.col("at")).alias("first_word"), (F.least("stop", (F.col("rank") + 1) * block_words) - F.col("at")).alias("last_word"))
-    return slots.join(pieces, ["place", "rank"]).select("slot", "place", "rank", "doc_id", "first_word", "last_word")
+    return slots.join(pieces(placed, block_words), ["place", "rank"]).select("slot", "place", "rank", "doc_id", "first_word", "last_word")
 
 
-def mix_query(documents: DataFrame) -> DataFrame:
-    placed, _ = mixed(documents)
-    return placed.select("doc_id", "size", "source_size", "target", "taken")
+def mix_query(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
+    """doc_id, size, source_size, target, taken and first_slot of every document.
+
+    taken is how many of its words the scheduled slots take, repeats counted, and first_slot the slot of the mix
+    that it first comes in, null where nothing is taken. Cases as in `mixed`.
+    """
+    placed, slots = mixed(documents, block_words, seed)
+    placed = stored(placed.select("doc_id", "size", "place", "source_size", "target", "begin", "quota"), "placed")
+    # Documents with words have places of their own, so (place, begin) names a row.
+    scheduled = pieces(placed, block_words).select("place", "begin", "rank", (F.col("last_word") - F.col("first_word")).alias("words")).join(slots, ["place", "rank"])
+    got = scheduled.groupBy("place", "begin").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    nothing = F.lit(None).cast("long")
+    rows = placed.where("size > 0").join(got, ["place", "begin"], "left").unionByName(placed.where("size = 0").withColumn("taken", nothing).withColumn("first_slot", nothing))
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def resampled(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:

@@ -92,7 +92,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 OP7 = """
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS draw FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
@@ -110,13 +110,38 @@ rest AS (
 targets AS (
   SELECT source, source_size, CASE WHEN full_up THEN CAST(2 * source_size AS DOUBLE)
          ELSE CAST(left_twice * weight AS DOUBLE) / CAST(2 * weight_left AS DOUBLE) END AS target FROM capped, rest),
-placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS quota,
+placed_rows AS (
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS quota,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.draw, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, quota - begin)) + greatest(0, least(size, quota - source_size - begin)) AS BIGINT) AS taken
-FROM placed
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+places AS (
+  SELECT source, quota, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place,
+         CAST(sum(quota) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(greatest(sum(quota) OVER (), 1) AS DOUBLE) AS cumulative,
+         (quota + 1023) // 1024 AS blocks FROM (SELECT source, CAST(floor(target) AS BIGINT) AS quota FROM targets)),
+amounts AS (SELECT CAST(sum(blocks) AS BIGINT) AS slots, count(*) AS n FROM places),
+dealt AS (
+  SELECT slot, (SELECT least(count(*) FILTER (WHERE cumulative <= point), count(*) - 1) FROM places) AS place FROM (
+    SELECT slot, CAST((CAST(slot + 1 AS HUGEINT) * 11400714819323198485) % 18446744073709551616 AS DOUBLE) / 18446744073709551616.0 AS point
+    FROM (SELECT unnest(range(CASE WHEN slots > 0 THEN slots + 4 * n + 64 ELSE 0 END)) AS slot FROM amounts))),
+ranked AS (SELECT slot, place, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM dealt),
+early AS (SELECT slot, place, rank FROM ranked JOIN places USING (place) WHERE rank < blocks),
+late AS (
+  SELECT place, unnest(range(CAST(coalesce(had, 0) AS BIGINT), CAST(blocks AS BIGINT))) AS rank
+  FROM places LEFT JOIN (SELECT place, count(*) AS had FROM early GROUP BY place) USING (place)),
+schedule AS (
+  SELECT slot, place, rank FROM early
+  UNION ALL SELECT slots + 4 * n + 64 + rank * n + place, place, rank FROM late, amounts),
+passes AS (
+  SELECT l.doc_id, l.begin, p.place, l.begin + k * l.source_size AS starts, least(l.begin + k * l.source_size + l.size, l.quota) AS stop
+  FROM placed_rows l JOIN places p ON l.source IS NOT DISTINCT FROM p.source, range(2) t(k)
+  WHERE l.size > 0 AND l.begin + k * l.source_size < l.quota),
+blocks AS (SELECT *, unnest(range(CAST(starts // 1024 AS BIGINT), CAST((stop - 1) // 1024 + 1 AS BIGINT))) AS rank FROM passes),
+got AS (
+  SELECT place, begin, sum(least(stop, (rank + 1) * 1024) - greatest(starts, rank * 1024)) AS taken, min(slot) AS first_slot
+  FROM blocks JOIN schedule USING (place, rank) GROUP BY place, begin)
+SELECT l.doc_id, l.size, l.source_size, l.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken, CAST(g.first_slot AS BIGINT) AS first_slot
+FROM placed_rows l JOIN places p ON l.source IS NOT DISTINCT FROM p.source
+LEFT JOIN got g ON g.place = p.place AND g.begin = l.begin AND l.size > 0
 """
 
 OP9 = """
