@@ -1,16 +1,19 @@
 """Secret scan: fixed patterns, and values in a credential's place by the cost of guessing them.
 
 A value's guess cost is that of its cheapest segmentation into common words, dates, repeats, keyboard walks and
-brute-force spans; a dynamic programme over its positions finds it. A value that would take many guesses is a
-secret; a template such as ${name} or {{name}}, a date or a common word is not. The cost alone decides, so an
-uncommon word of seven letters or more is a secret too.
+brute-force spans; a dynamic programme over its positions finds it. Words are ranked: first the usual parts of
+passwords, then the words of a public vocabulary, whose order is that of their frequency. A value that would take many guesses is a
+secret; a template such as ${name} or {{name}}, a date or a common word is not. The cost alone decides, so a
+rare word of seven letters or more is a secret too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,15 +48,35 @@ COMMON = (
     "monday tuesday friday sunday company server mysql oracle postgres database prod production dev staging"
 ).split()
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "qwertz", "azerty")
-RANK = {word: at + 1 for at, word in enumerate(COMMON)}
-LONGEST_WORD = max(map(len, COMMON))
+LONGEST_WORD = 20
 LEET = str.maketrans("013457@$", "oieastas")
-DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?(?:0[1-9]|1[0-2])(?:[-./]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:(?:19|20)\d\d|\d\d)")
+DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?(?:0[1-9]|1[0-2])(?:[-./]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:(?:19|20)\d\d|\d\d)", re.ASCII)
+DATE_LENGTHS = range(len("2000"), len("31-12-2000") + 1)
 WALKS = {a + b for row in KEYBOARD for line in (row, row[::-1]) for a, b in zip(line, line[1:], strict=False)}
 SPAN_COST = math.log10(2.0)  # for each further segment: where it ends is unknown
-LONGEST_BLOCK = 16
+WORD_CHANGED, WORD_LEET, DATE_COST, WALK_COST, RUN_COST, BLOCK_COST = 0.5, 0.7, 4.3, 2.5, 1.0, 1.0
+SHORTEST_RUN, LONGEST_BLOCK = 3, 16
 # No segment but a walk or a repeat is longer than this.
-REACH = max(LONGEST_WORD, LONGEST_BLOCK, len("31-12-2000"))
+REACH = max(LONGEST_WORD, LONGEST_BLOCK, DATE_LENGTHS[-1])
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@lru_cache(maxsize=2)
+def ranks(vocabulary: str) -> dict[str, int]:
+    """The rank of each common word, from 1: COMMON, then the vocabulary's words of three letters or more by id.
+
+    The file is one of the tokenizers library; the words are its tokens that begin with a blank.
+    """
+    with open(vocabulary, encoding="utf-8") as file:
+        tokens = json.load(file)["model"]["vocab"]
+    words = (t[1:] for t in sorted(tokens, key=tokens.__getitem__) if t[0] == "Ġ")
+    known = (w.lower() for w in words if SHORTEST_RUN <= len(w) <= LONGEST_WORD and w.isascii() and w.isalpha())
+    return {word: at for at, word in enumerate(dict.fromkeys([*COMMON, *known]), 1)}
 
 
 def alphabet(text: str) -> int:
@@ -63,69 +86,73 @@ def alphabet(text: str) -> int:
     return max(size + 33 * any(not c.isalnum() for c in text), 10)
 
 
-def prefixes(value: str, enough: float = math.inf) -> list[tuple[float, str, int]]:
+def letter_cost(value: str) -> float:
+    return math.log10(16 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) else alphabet(value))
+
+
+def word_cost(span: str, rank: dict[str, int]) -> float:
+    """Of a span as a common word, in lower case or with signs for letters; infinite if it is none."""
+    lower = span.lower()
+    forms = [(rank.get(lower), 0.0), (rank.get(lower.translate(LEET)), WORD_LEET)]
+    return min((math.log10(at + 1) + extra for at, extra in forms if at), default=math.inf) + (0.0 if span.islower() else WORD_CHANGED)
+
+
+def prefixes(value: str, enough: float = math.inf, vocabulary: str | None = None) -> list[tuple[float, str, int]]:
     """(log10 of the guesses, kind, begin) of the cheapest segmentation's last segment, for each prefix.
 
-    Every segmentation has a cut in any REACH + 1 places that no walk or repeat spans; once all the prefixes that end
-    there cost enough, so does the whole value, and what follows isn't looked at.
+    Every span is offered as a word, a date, a repeat of the block before it or brute force, and every part of a run
+    as a walk or a repeat; as these cost the same at any length, the cheapest one that ends at a position follows
+    from the one that ends before it. Every segmentation has a cut in any REACH + 1 places that no walk or
+    repeat spans; once all the prefixes that end there cost enough, so does the whole value, and what follows
+    isn't looked at.
     """
-    n, lower = len(value), value.lower()
-    plain = lower.translate(LEET)
-    size = 16 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) else alphabet(value)
-    letter = math.log10(size)
-    walk = [0] * n  # how many characters of one keyboard walk or repeat end here
-    same = [0] * n
-    for i in range(1, n):
-        walk[i] = walk[i - 1] + 1 if lower[i - 1 : i + 1] in WALKS else 0
-        same[i] = same[i - 1] + 1 if lower[i] == lower[i - 1] else 0
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            dates.setdefault(m.end(), []).append(i)
+    rank = ranks(vocabulary or default_vocabulary())
+    n, lower, letter = len(value), value.lower(), letter_cost(value)
     best: list[tuple[float, str, int]] = [(0.0, "", 0)]
-    brute = -1
+    brute, never = (math.inf, 0), (math.inf, 0)
+    running = {"walk": never, "repeat": never}  # the cheapest that ends here: cost and begin
+    length = {"walk": 1, "repeat": 1}  # of the run that ends here
     for end in range(1, n + 1):
-        options = [(best[end - 1][0] + letter + (0.0 if best[end - 1][1] == "brute" else SPAN_COST), "brute", end - 1)]
-        for begin in range(max(0, end - LONGEST_WORD), end - 2):
-            for form, extra in ((lower, 0.0), (plain, 0.7)):
-                rank = RANK.get(form[begin:end])
-                if rank:
-                    changed = 0.0 if value[begin:end].islower() else 0.5
-                    options.append((best[begin][0] + math.log10(rank + 1) + extra + changed + SPAN_COST, "word", begin))
-        for begin in dates.get(end, ()):
-            options.append((best[begin][0] + 4.3 + SPAN_COST, "date", begin))
-        for kind, run, each in (("walk", walk[end - 1], 2.0), ("repeat", same[end - 1], letter)):
-            if run >= 2:
-                options.append((best[end - run - 1][0] + each + math.log10(run + 1) + SPAN_COST, kind, end - run - 1))
+        before = best[end - 1][0]
+        brute = min((brute[0] + letter, brute[1]), (before + letter + SPAN_COST * (end > 1), end - 1))
+        options = [(brute[0], "brute", brute[1])]
+        for kind, first, goes_on in (("walk", WALK_COST, lower[end - 2 : end] in WALKS), ("repeat", letter + RUN_COST, end > 1 and lower[end - 2] == lower[end - 1])):
+            length[kind] = length[kind] + 1 if goes_on else 1
+            running[kind] = running[kind] if goes_on else never
+            if length[kind] >= SHORTEST_RUN:
+                begin = end - SHORTEST_RUN
+                running[kind] = min(running[kind], (best[begin][0] + first + SPAN_COST * (begin > 0), begin))
+                options.append((running[kind][0], kind, running[kind][1]))
+        for begin in range(max(0, end - LONGEST_WORD), end - SHORTEST_RUN + 1):
+            cost = word_cost(value[begin:end], rank)
+            if cost < math.inf:
+                options.append((best[begin][0] + cost + SPAN_COST * (begin > 0), "word", begin))
+        if lower[end - 1].isdigit():
+            for size in DATE_LENGTHS:
+                if size <= end and DATE.fullmatch(value, end - size, end):
+                    options.append((best[end - size][0] + DATE_COST + SPAN_COST * (end > size), "date", end - size))
         for width in range(2, min(LONGEST_BLOCK, end // 2) + 1):  # a block that repeats
             if lower[end - width : end] == lower[end - 2 * width : end - width]:
-                options.append((best[end - width][0] + 1.0 + SPAN_COST, "repeat", end - width))
+                options.append((best[end - width][0] + BLOCK_COST + SPAN_COST, "repeat", end - width))
         best.append(min(options))
-        if REACH <= end < n and best[end][0] >= enough and max(walk[end], same[end]) <= REACH and min(best[end - REACH :])[0] >= enough:
+        if REACH <= end < n and best[end][0] >= enough and max(length.values()) <= REACH and min(best[end - REACH :])[0] >= enough:
             break
     return best
 
 
-def segments_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def segments_cost(value: str, vocabulary: str | None = None) -> tuple[float, list[tuple[str, int, int]]]:
     """(log10 of the guesses, [(kind, begin, end)]) of the cheapest segmentation."""
-    best, n = prefixes(value), len(value)
-    cuts, end = [], n
+    best, end, cuts = prefixes(value, vocabulary=vocabulary), len(value), []
     while end:
         _, kind, begin = best[end]
         cuts.append((kind, begin, end))
         end = begin
-    joined: list[tuple[str, int, int]] = []
-    for kind, begin, end in reversed(cuts):
-        if kind == "brute" and joined and joined[-1][0] == "brute":
-            joined[-1] = ("brute", joined[-1][1], end)
-        else:
-            joined.append((kind, begin, end))
-    return best[n][0], joined
+    return best[len(value)][0], cuts[::-1]
 
 
-def takes(value: str, least: float) -> bool:
+def takes(value: str, least: float, vocabulary: str | None = None) -> bool:
     """Whether the whole value takes 10**least guesses or more, however long it is."""
-    return prefixes(value, least)[-1][0] >= least
+    return prefixes(value, least, vocabulary)[-1][0] >= least
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -136,7 +163,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guess_spans(text: str, least: float) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, least: float, vocabulary: str | None = None) -> list[tuple[int, int, int]]:
     """(begin, kind, end) of values in a credential's place that take 10**least guesses or more."""
     found, at = [], 0
     while m := CONTEXT.search(text, at):
@@ -147,17 +174,17 @@ def guess_spans(text: str, least: float) -> list[tuple[int, int, int]]:
             continue
         if len(value) < 6 or TEMPLATE.fullmatch(m.group(1).rstrip(".,:!?")):
             continue
-        if takes(value, least):
+        if takes(value, least, vocabulary):
             found.append((m.start(1), 3, m.start(1) + len(value)))
     return found
 
 
-def spans_of(text: str | None, least: float = 9.0) -> list[tuple[int, int, int]]:
+def spans_of(text: str | None, least: float = 9.0, vocabulary: str | None = None) -> list[tuple[int, int, int]]:
     """All spans; the method adds those that no base span covers."""
     if not text:
         return []
     base = base_spans(text)
-    more = [s for s in guess_spans(text, least) if not any(b <= s[0] and s[2] <= e for b, _, e in base)]
+    more = [s for s in guess_spans(text, least, vocabulary) if not any(b <= s[0] and s[2] <= e for b, _, e in base)]
     return sorted({*base, *more})
 
 
@@ -182,7 +209,7 @@ def candidates(column: pa.Array) -> list[bool]:
     return pc.fill_null(pc.match_substring_regex(column.cast(pa.large_string()), TRIGGER), False).to_pylist()
 
 
-def scanned(documents: DataFrame, least: float = 9.0) -> DataFrame:
+def scanned(documents: DataFrame, least: float = 9.0, vocabulary: str | None = None) -> DataFrame:
     """doc_id, the numbers of base spans by kind, the digest of the base spans and all spans as text.
 
     A null or empty text has no spans: the digest is that of the empty string. Repeated rows give repeated
@@ -195,7 +222,7 @@ def scanned(documents: DataFrame, least: float = 9.0) -> DataFrame:
             column = batch.column("text")
             counts, digests, texts = ([], [], []), [], []
             for may, value in zip(candidates(column), column, strict=True):
-                spans = spans_of(value.as_py(), least) if may else []
+                spans = spans_of(value.as_py(), least, vocabulary) if may else []
                 base = [s for s in spans if s[1] < 3]
                 for kind in range(3):
                     counts[kind].append(sum(s[1] == kind for s in base))
@@ -207,7 +234,7 @@ def scanned(documents: DataFrame, least: float = 9.0) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redacted(documents: DataFrame, least: float = 9.0, mark: str = "[SECRET]") -> DataFrame:
+def redacted(documents: DataFrame, least: float = 9.0, mark: str = "[SECRET]", vocabulary: str | None = None) -> DataFrame:
     """The documents with every span replaced by a mark; all rows and columns stay. A null text stays null."""
     names = documents.columns
 
@@ -218,7 +245,7 @@ def redacted(documents: DataFrame, least: float = 9.0, mark: str = "[SECRET]") -
             if not any(may):
                 yield batch
                 continue
-            texts = [redacted_text(t, spans_of(t, least), mark) if m else t for m, t in zip(may, column.to_pylist(), strict=True)]
+            texts = [redacted_text(t, spans_of(t, least, vocabulary), mark) if m else t for m, t in zip(may, column.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
     return documents.mapInArrow(run, documents.schema)

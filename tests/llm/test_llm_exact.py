@@ -1,6 +1,7 @@
 """Each operator against the library, a brute-force version, a round trip or held-out labels."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -165,6 +166,43 @@ def test_long_values_whole():
             assert secret_cost.takes(value, least) == (secret_cost.segments_cost(value)[0] >= least)
 
 
+def exhaustive_cost(value):
+    """The cheapest of all segmentations, each span by each kind."""
+    c, letter, rank, lower = secret_cost, secret_cost.letter_cost(value), secret_cost.ranks(secret_cost.default_vocabulary()), value.lower()
+
+    def kinds(begin, end):
+        span, size = lower[begin:end], end - begin
+        pairs = [span[i : i + 2] for i in range(size - 1)]
+        yield size * letter
+        if size >= 3:
+            yield c.word_cost(value[begin:end], rank)
+            if all(p in c.WALKS for p in pairs):
+                yield c.WALK_COST
+            if len(set(span)) == 1:
+                yield letter + c.RUN_COST
+        if c.DATE.fullmatch(value[begin:end]):
+            yield c.DATE_COST
+        if 2 <= size <= c.LONGEST_BLOCK and lower[begin - size : begin] == span and begin >= size:
+            yield c.BLOCK_COST
+
+    best = np.inf
+    for cuts in itertools.product((False, True), repeat=len(value) - 1):
+        at = [0, *(i + 1 for i, cut in enumerate(cuts) if cut), len(value)]
+        best = min(best, sum(min(kinds(a, b)) for a, b in zip(at, at[1:])) + (len(at) - 2) * c.SPAN_COST)
+    return best
+
+
+def test_cheapest_of_all_segmentations():
+    rng = random.Random(11)
+    parts = ["abc", "fgh", "zz", "p4ss", "the", "Me", "19", "20", "01", "x9", "$", "qwe", "ab", "2024"]
+    for _ in range(120):
+        value = "".join(rng.choices(parts, k=5))[:10]
+        cost, cuts = secret_cost.segments_cost(value)
+        assert cost == pytest.approx(exhaustive_cost(value)), value
+        assert [c[1] for c in cuts] == [0, *(c[2] for c in cuts[:-1])] and cuts[-1][2] == len(value)
+    assert secret_cost.segments_cost("changemefgh")[0] < 5
+
+
 def test_cost_decides():
     for text, value in (
         ("password: $Xk9#mQ2!vL7p", "$Xk9#mQ2!vL7p"),
