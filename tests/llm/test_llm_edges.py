@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns, for every operator."""
 
+import random
+
 import pytest
 
 from leafmill.llm import bayes_jaccard, chat_collapse, lang_mixture, mix_schedule, norm_topk, permutation_ann, piece_stream, prefix_bpe, secret_cost, toxic_crf
@@ -81,15 +83,42 @@ def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 9), (0, [1.0, 0.0], 9), (1, [0.5, 0.5], 1), (2, [0.5, 0.5], 1), (3, None, 1), (4, [nan, 1.0], 1), (5, [1.0, None], 1), (6, [0.0, 0.0], 1), (7, [inf, 1.0], 1), (None, [1.0, 1.0], 1), (8, [1.0], 1), (100, [-1.0, 0.0], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    good = [(i, v) for i, v, _ in rows if i in (0, 1, 2, 100)]
+
+    def expected(good, queries, scale, k):
+        """As the SQL has it: every pair of rows of different ids."""
+        out = []
+        for query in sorted({i for i, _ in good if i % queries == 0}):
+            pairs = sorted((-sum(a * b for a, b in zip(u, v)) * scale, j) for i, u in good for j, v in good if i == query != j and len(u) == len(v))
+            out += [(query, rank, j, -s) for rank, (s, j) in enumerate(pairs[:k], 1)]
+        return out
+
     near = [(r.query_id, r["rank"], r.vec_id, r.score) for r in permutation_ann.nearest(table).orderBy("query_id", "rank").collect()]
-    assert near == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 100, -1.0), (100, 1, 1, -0.5), (100, 2, 2, -0.5), (100, 3, 0, -1.0)]
-    exact = [(r.query_id, r["rank"], r.vec_id, r.score) for r in norm_topk.top_products(table).where("query_id = 0").orderBy("rank").collect()]
-    assert exact == [(0, 1, 1, 512 * 1024), (0, 2, 2, 512 * 1024), (0, 3, 6, 0), (0, 4, 100, -1024 * 1024)]
+    assert near == expected(good, 20, 1, 20)
+    exact = [(r.query_id, r["rank"], r.vec_id, r.score) for r in norm_topk.top_products(table).orderBy("query_id", "rank").collect()]
+    assert exact == expected([*good, (6, [0.0, 0.0]), (8, [1.0])], 100, 1024 * 1024, 10)
+    other = table.unionByName(spark.createDataFrame([(200, [2.0], 1), (40, [0.5], 1)], table.schema))  # another dimension
+    assert [(r.query_id, r.vec_id) for r in norm_topk.top_products(other).where("query_id = 200").orderBy("rank").collect()] == [(200, 8), (200, 40)]
+    with pytest.raises(Exception, match="64 bits"):
+        norm_topk.top_products(spark.createDataFrame([(0, [3e9]), (1, [3e9])], "vec_id long, embedding array<double>")).collect()
     for search in (permutation_ann.nearest, norm_topk.top_products):
         assert search(table.where("false")).count() == 0
         assert search(table.where("embedding IS NULL")).count() == 0
 
 
+def test_vectors_in_several_blocks(spark, monkeypatch):
+    for module in (norm_topk, permutation_ann):
+        monkeypatch.setattr(module, "ROWS_IN_BLOCK", 64)
+        monkeypatch.setattr(module, "QUERIES_IN_BLOCK", 3)
+    rng = random.Random(5)
+    rows = [(i % 590, [float(rng.randint(-2, 2)) * (1 + i % 7) for _ in range(3)]) for i in range(600)]  # many ties, ten repeated ids
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for found, every, k, scale in ((norm_topk.top_products(table, 100, 10), 100, 10, 1024 * 1024), (permutation_ann.nearest(table, 100, 10, share=1.0), 100, 10, 1)):
+        for query in range(0, 590, 100):
+            pairs = sorted((-sum(a * b for a, b in zip(u, v)) * scale, j) for i, u in rows for j, v in rows if i == query != j and (scale > 1 or any(u) and any(v)))
+            assert [(r.vec_id, r.score) for r in found.where(f"query_id = {query}").orderBy("rank").collect()] == [(j, -s) for s, j in pairs[:k]]
+
+
 def test_chats(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, None, None), (5, None, "user", "x"), (5, 3, "user", "y"), (5, 5000, "user", "z"), (6, None, "user", "x"), (None, 0, "user", "q"), (7, 0, "user", "a"), (7, 0, "user", "a")]
     table = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, run int")
