@@ -2,7 +2,8 @@
 
 A log often holds a conversation once per turn, each time a little longer. A rolling hash of every turn prefix
 finds them: a conversation whose whole hash is the hash of a proper prefix of another one is left out by an anti-join.
-Only DataFrame functions are used.
+Only DataFrame functions are used. Turns are dealt by ranges of their order, so neither a long conversation nor many
+turns of one number are one task's.
 """
 
 from __future__ import annotations
@@ -10,29 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TURNS_IN_RUN = 1024
+from leafmill.llm.common import stored
 
 
 def turn_text(role: Column, text: Column) -> Column:
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("\n"))
+    """A turn as written; a mark inside of a role or text is escaped, so that no turn can forge another."""
+    plain = F.replace(text, F.lit("<|"), F.lit("<\\|"))
+    return F.concat(F.lit("<|"), F.replace(role, F.lit("|"), F.lit("\\|")), F.lit("|>\n"), plain, F.lit("\n"))
 
 
 def ordered_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, pos (from 1), role, text; nulls are empty, order is by turn, role and text.
+    """conv_id, run, pos (from 1), role, text as a table; nulls are empty, order is by turn, role and text.
 
-    A conversation is cut into runs of turns, so its positions are two short sums and one very long conversation
-    isn't one task's.
+    Runs are ranges of that order, so positions are two short sums.
     """
     turns = conversations.where("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text")
-    turns = turns.withColumn("run", F.floor(F.col("turn") / TURNS_IN_RUN))
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    turns = stored(turns.repartitionByRange("conv_id", *order).withColumn("run", F.spark_partition_id()), "turns")
     sizes = turns.groupBy("conv_id", "run").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy(F.col("run").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("conv_id", "run").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    inside = Window.partitionBy("conv_id", "run").orderBy(*order)
     turns = turns.withColumn("inside", F.row_number().over(inside))
-    joined = turns.join(sizes, (turns.conv_id == sizes.c) & turns.run.eqNullSafe(sizes.r))
+    joined = turns.join(sizes, (turns.conv_id == sizes.c) & (turns.run == sizes.r))
     empty = F.lit("")
-    return joined.select("conv_id", "run", (F.col("before") + F.col("inside")).alias("pos"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    return stored(joined.select("conv_id", "run", (F.col("before") + F.col("inside")).alias("pos"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")), "ordered")
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
@@ -44,12 +47,12 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     # Role and text are hashed as separate values: joined strings could be cut elsewhere.
     own = turns.select("conv_id", "run", "pos", F.xxhash64("pos", "role", "text").alias("a"), F.xxhash64(F.lit(91), "text", "pos", "role").alias("b"))
     runs = own.groupBy("conv_id", "run").agg(F.bit_xor("a").alias("ra"), F.bit_xor("b").alias("rb"))
-    before = Window.partitionBy("conv_id").orderBy(F.col("run").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     runs = runs.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), F.coalesce(F.bit_xor("ra").over(before), zero).alias("ra"), F.coalesce(F.bit_xor("rb").over(before), zero).alias("rb"))
     inside = Window.partitionBy("conv_id", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("a", F.bit_xor("a").over(inside)).withColumn("b", F.bit_xor("b").over(inside))
-    joined = own.join(runs, (own.conv_id == runs.c) & own.run.eqNullSafe(runs.r))
+    joined = own.join(runs, (own.conv_id == runs.c) & (own.run == runs.r))
     return joined.select("conv_id", "pos", F.col("a").bitwiseXOR(F.col("ra")).alias("h1"), F.col("b").bitwiseXOR(F.col("rb")).alias("h2"))
 
 
@@ -57,11 +60,11 @@ def maximal_chats(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies and rendered of every conversation that is no prefix of a longer one.
 
     Equal conversations become one, with the least conv_id; n_copies is how many there were. Null roles and texts
-    count as empty; turns of one number are ordered by role and text; rows without conv_id are left out. Further
-    columns are ignored, an empty table gives no rows.
+    count as empty; turns of one number are ordered by role and text; rows without conv_id are left out. A `<|` inside of a
+    text is written `<\\|`, a `|` inside of a role `\\|`. Further columns are ignored, an empty table gives no rows.
     """
     turns = ordered_turns(conversations)
-    hashes = prefix_hashes(turns)
+    hashes = stored(prefix_hashes(turns), "prefixes")
     whole = hashes.groupBy("conv_id").agg(F.max(F.struct("pos", "h1", "h2")).alias("last"))
     whole = whole.groupBy("last.pos", "last.h1", "last.h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     ends = hashes.groupBy("conv_id").agg(F.max("pos").alias("n_turns"))

@@ -150,7 +150,7 @@ WITH turns AS (
          coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 whole AS (
   SELECT conv_id, count(*) AS n_turns, list(md5(role || chr(0) || text) ORDER BY pos) AS marks,
-         string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) AS rendered
+         string_agg('<|' || replace(role, '|', '\\|') || '|>' || chr(10) || replace(text, '<|', '<\\|') || chr(10), '' ORDER BY pos) AS rendered
   FROM turns GROUP BY conv_id),
 folded AS (
   SELECT min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, marks, count(*) AS n_copies, any_value(rendered) AS rendered
