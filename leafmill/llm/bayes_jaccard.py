@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import Memo, grouped, runs, slices, stored
-from leafmill.llm.components import components
+from leafmill.llm.components import components, dealt_anew
 
 WORDS = 5
 THRESHOLD = 0.8
 HASHES, BAND = 128, 4  # a pair at the threshold misses all bands with probability 5e-8
 CHECKS = (16, 32, 64, 128)
 TOLERANCE = 1e-7
-BUCKET_CHUNK, GROUP_CHUNK = 1024, 256
+BUCKET_CHUNK, GROUP_CHUNK, SHINGLES_CHUNK = 1024, 1024, 4_000_000
 FEW = 8
 SLICE_CHARS = 3_000_000
 WORD_BYTES = 32_000_000
@@ -173,10 +173,9 @@ def signature_table(documents: DataFrame) -> DataFrame:
     return documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles int, set_a long, set_b long, bands array<long>, signature binary")
 
 
-def chunk_pairs(rows: DataFrame, node: Column, size: Column, chunk: int) -> DataFrame:
-    """Adds side, a and b: a row of a group of size goes to each pair of chunks that holds its own chunk."""
-    number = F.ceil(size / chunk).cast("int")
-    rows = rows.withColumn("chunks", number).withColumn("side", F.pmod(F.xxhash64(node), F.col("chunks")).cast("int"))
+def chunk_pairs(rows: DataFrame, node: Column, number: Column) -> DataFrame:
+    """Adds side, a and b: a row goes to each pair of its group's chunks, of which there are number, that holds its own."""
+    rows = rows.withColumn("chunks", number.cast("int")).withColumn("side", F.pmod(F.xxhash64(node), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     return rows.select("*", other).select("*", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b")).drop("other", "chunks")
 
@@ -306,20 +305,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     all_rows = stored(signature_table(documents), "signatures")
     worded = all_rows.where("n_shingles > 0")
     reps = worded.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("n_copies"))
-    member = all_rows.select("doc_id", "set_a", "set_b", "n_shingles").join(reps, ["set_a", "set_b"], "left")
+    member = all_rows.select("doc_id", "set_a", "set_b", "n_shingles").join(dealt_anew(reps, "set_a", "set_b"), ["set_a", "set_b"], "left")
     blank = F.col("n_shingles") == 0
     member = member.select("doc_id", F.when(blank, F.col("doc_id")).otherwise(F.col("rep")).alias("rep"), F.when(blank, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"))
     member = stored(member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_copies").alias("n_copies")), "members")
     chosen = member.where("doc_id = rep").select("rep")
     posted = worded.join(chosen, worded.doc_id == chosen.rep, "left_semi").select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
     several = posted.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    bucketed = posted.join(several, ["band", "key"]).join(worded.select(F.col("doc_id").alias("rep"), "signature"), "rep")
-    bucketed = chunk_pairs(bucketed, F.col("rep"), F.col("n"), BUCKET_CHUNK)
+    bucketed = posted.join(dealt_anew(several, "key"), ["band", "key"]).join(worded.select(F.col("doc_id").alias("rep"), "signature"), "rep")
+    bucketed = chunk_pairs(bucketed, F.col("rep"), F.ceil(F.col("n") / BUCKET_CHUNK))
     group = components(tied(bucketed))
     group = group.select(F.col("u").alias("doc"), F.col("v").alias("grp")).unionByName(group.select(F.col("v").alias("doc"), F.col("v").alias("grp")).distinct())
-    group = group.join(group.groupBy("grp").agg(F.count("*").alias("n")), "grp")
+    lengths = worded.groupBy(F.col("doc_id").alias("doc")).agg(F.max("n_shingles").alias("length"))
+    group = stored(group.join(lengths, "doc"), "groups")
+    # As many chunks as keep both rows and shingles of each bounded.
+    size = group.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / GROUP_CHUNK), F.ceil(F.sum("length") / SHINGLES_CHUNK)).alias("n"))
+    group = group.join(dealt_anew(size, "grp"), "grp").select("doc", "grp", "n")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").join(group, "doc")
-    members = chunk_pairs(with_shingles(texts), F.col("doc"), F.col("n"), GROUP_CHUNK)
+    members = chunk_pairs(with_shingles(texts), F.col("doc"), F.col("n"))
     found = stored(verified(members), "links")
     links = found.groupBy("doc").agg(F.sum("n_links").alias("n_links"))
     classes = components(found.select(F.col("doc").alias("u"), F.col("root").alias("v")))
