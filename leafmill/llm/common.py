@@ -97,12 +97,14 @@ def folder(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the tables that `stored` wrote after the first `since` ones; for callers that have their result."""
-    for path in written[since:]:
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables that `stored` wrote after the first `since` ones, but for the last `keep`; for callers that
+    have their result."""
+    gone = written[since : len(written) - keep]
+    for path in gone:
         place, files = folder(spark, path)
         files.delete(place, True)
-    del written[since:]
+    del written[since : since + len(gone)]
 
 
 def bounded_sample(frame: DataFrame, keys: list[str], bounds: dict, group: str, seed: int = 7) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -434,6 +435,113 @@ def test_resampled_follows_the_slots(spark):
         low = min(s for s in at[doc_id] if s >= low)
 
 
+def plain_language(model, text, penalty=3.0, rounds=12):
+    """(label, score) by the definition: every word's grams one by one, every mixture by EM."""
+    f, factors = np.float64, [int(x) for x in lang_mixture.FACTORS]
+
+    def score(word):
+        c = [ord(x) for x in f"<{word}>"]
+        sums = [a * factors[0] + b * factors[1] for a, b in zip(c, c[1:])] + [a * factors[2] + b * factors[3] + d * factors[4] for a, b, d in zip(c, c[1:], c[2:])]
+        sums.append(sum(x * factors[5] ** (i + 1) for i, x in enumerate(c)))
+        return sum(model.table[x % 2**64 >> 47].astype(f) for x in sums) / 2
+
+    words = [m[0] for part in (text or "").split() for m in re.finditer(r"[^\W\d_]{1,4096}", "".join(x if unicodedata.category(x)[0] != "N" else " " for x in part.lower()))]
+    if not words:
+        return "und", 0.0
+    rows = np.array([score(w) for w in words])
+    total = rows.sum(0) + model.prior
+    first = int(total.argmax())
+    chosen, share, value, cost = [first], [1.0], rows[:, first].sum(), penalty * np.log(len(words) + 1) + penalty
+    while len(chosen) < len(model.languages):
+        tried = []
+        for c in set(range(len(model.languages))) - set(chosen):
+            weight, p = np.exp(rows[:, [*chosen, c]] - rows.max(1, keepdims=True)), np.full(len(chosen) + 1, 1 / (len(chosen) + 1))
+            for _ in range(rounds):
+                p = (weight * p / (weight @ p)[:, None]).mean(0)
+            tried.append((rows.max(1).sum() + np.log(weight @ p).sum(), c, p))
+        best = max(tried, key=lambda t: t[0])
+        if best[0] - value <= cost:
+            break
+        value, share, chosen = best[0], best[2], [*chosen, best[1]]
+    odds = np.exp(total - total.max())
+    return model.languages[chosen[int(np.argmax(share))]], float(odds[first] / odds.sum() if len(chosen) == 1 else max(share))
+
+
+def test_languages_equal_a_plain_version(documents):
+    model = lang_mixture.train(documents.where(~held_out("doc_id")))
+    some = documents.where("n_chars < 3000 AND doc_id % 7 = 0")
+    texts = {r.doc_id: r.text for r in some.collect()} | {-1: "² ½ ①", -2: "Ⅷ", -3: None, -4: "12 ab² cd"}
+    frame = documents.sparkSession.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in lang_mixture.identify(frame, model).collect():
+        label, score = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == label and r.score == pytest.approx(score, abs=1e-3), r.doc_id
+        assert (r.lang_pred == "und") == (r.doc_id in (-1, -2, -3))
+
+
+def test_toxicity_equals_a_plain_version(documents, spark):
+    labels = read_table(spark, SMALL, "labels")
+    model = toxic_crf.train(documents.select("doc_id", "text"), labels.where(~held_out("doc_id")))
+    texts = {r.doc_id: r.text for r in documents.where("n_chars < 2000 AND doc_id % 5 = 0").collect()} | {-1: None, -2: "", -3: "12 ..."}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in toxic_crf.scored(frame, model).collect():
+        weight = [np.exp(np.clip(model.bias + sum(float(model.weights[toxic_crf.bucket(t)]) for t in toxic_crf.traits(toxic_crf.core(w))), -40, 40)) for w in (texts[r.doc_id] or "").split()]
+        ahead, back, toxic = [model.start], np.ones(2), []
+        for x in weight:
+            v = (ahead[-1] @ model.step) * [1, x]
+            ahead.append(v / v.sum())
+        for v, x in zip(ahead[:0:-1], weight[::-1]):
+            toxic.append((v * back)[1] / (v * back).sum())
+            back = model.step @ (back * [1, x])
+            back /= back.sum()
+        found = [1, np.log(sum(t for t in toxic if t >= 0.01) + 1e-3), -np.log(1e4)]
+        if toxic:
+            top = np.clip(max(toxic), 1e-4, 1 - 1e-4)
+            found[2] = np.log(top / (1 - top))
+        else:
+            found[1:] = np.log(1e-3), np.log(1e-4)
+        score = 1 / (1 + np.exp(-np.dot(found, model.judge)))
+        assert r.score == pytest.approx(score, abs=1e-6) and r.predicted == (score >= 0.3)
+        assert sum(len(texts[r.doc_id][s.begin : s.end].split()) for s in r.spans) == sum(t >= 0.5 for t in toxic)
+
+
+def test_pipeline_stages_equal_plain_versions(spark):
+    import corpus_pipeline
+
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    stages, rows = dict(corpus_pipeline.STAGES), {r.doc_id: r for r in docs.collect()}
+    one = stages["language_id"](spark, docs, "").cache()
+    model = lang_mixture.train(docs.where(~held_out("doc_id")))
+    short = [d for d, r in rows.items() if len(r.text or "") < 4000]
+    got = {r.doc_id: r.lang for r in one.collect()}
+    assert {d: got.get(d, "und") for d in short} == {d: plain_language(model, rows[d].text)[0] for d in short}
+    two = stages["ngram_jaccard"](spark, one, "").cache()
+    kept = {r.doc_id: r.text for r in one.collect()}
+    least, _ = jaccard_classes(kept)
+    assert {r.doc_id for r in two.collect()} == {d for d, m in least.items() if d == m}
+    three = stages["secret_scan"](spark, two, "").cache()
+    marked = 0
+    for r in three.collect():
+        text, done, out = kept[r.doc_id], 0, []
+        for span in filter(None, base(text).split(",")):
+            _, begin, end = span.split(":")
+            if int(begin) >= done:
+                out += [text[done : int(begin)], "[SECRET]"]
+            done = max(done, int(end))
+        marked += bool(out)
+        assert r.text == "".join([*out, text[done:]]) and r.n_chars == len(r.text)  # these texts have base secrets only
+    four = stages["source_mix"](spark, three, "").cache()
+    size = lambda text: len(re.findall(mix_schedule.WORD, text or ""))
+    held = {}
+    for r in three.collect():
+        held[r.source] = held.get(r.source, 0) + size(r.text)
+    mixed = four.collect()
+    for t in mix_schedule.targets(list(held.items())):
+        assert sum(size(r.text) for r in mixed if r.source == t.source) == t.quota
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_stream.default_path())
+    five = stages["sentencepiece"](spark, four, "").collect()
+    assert sorted((r.doc_id, r.ids) for r in five) == sorted((r.doc_id, library.encode(r.text)) for r in mixed)
+
+
 def test_pipeline_on_small_documents(spark):
     import corpus_pipeline
 
