@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import bayes_jaccard, lang_mixture, mix_schedule, piece_stream, secret_cost
-from leafmill.llm.common import ensure_checkpoint_dir, held_out
+from leafmill.llm.common import held_out, read_table, release, stored, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +48,14 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-# Trained models, hashes and piece ids are beyond SQL; tests compare each stage with a brute-force version.
+# Trained models, hashes and piece ids are beyond SQL; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Once a stage is written, what it was made from is deleted."""
+    docs, before = read_table(spark, sf_dir, "documents"), len(written)
     for name, stage in STAGES[:-1]:
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, before, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
