@@ -25,7 +25,7 @@ THRESHOLD = 0.8
 HASHES, BAND = 128, 4  # a pair at the threshold misses all bands with probability 5e-8
 CHECKS = (16, 32, 64, 128)
 TOLERANCE = 1e-7
-BUCKET_CHUNK, GROUP_CHUNK, SHINGLES_CHUNK = 1024, 1024, 4_000_000
+BUCKET_CHUNK, GROUP_CHUNK, SHINGLES_CHUNK = 1024, 512, 2_000_000
 FEW = 8
 SLICE_CHARS = 3_000_000
 WORD_BYTES = 32_000_000
@@ -248,9 +248,9 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     total = np.zeros((len(sets), len(sets)), "f4")
-    for begin in range(0, int((times > 1).sum()), 8192):
-        low, high = np.searchsorted(column, [begin, begin + 8192])
-        block = np.zeros((len(sets), 8192), "f4")
+    for begin in range(0, int((times > 1).sum()), 4096):
+        low, high = np.searchsorted(column, [begin, begin + 4096])
+        block = np.zeros((len(sets), 4096), "f4")
         block[owner[low:high], column[low:high] - begin] = 1
         total += block @ block.T
     return total[left, right].astype("i8")

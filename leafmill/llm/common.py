@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from sys import getsizeof
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 HELD_OUT_REMAINDER = 2
 ENTRY_BYTES = 100  # what a place in a dictionary takes besides its key and value
+WORKER_BYTES, TOLD_BYTES = 128_000_000, 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +42,44 @@ def slices(texts: list[str | None], most_chars: int) -> Iterator[tuple[int, int]
         yield begin, len(texts)
 
 
+class Shared:
+    """Keeps all memories of a worker process together below WORKER_BYTES: as one grows, those that have grown least
+    lately, such as another operator's, are forgotten first."""
+
+    def __init__(self):
+        self.members: weakref.WeakSet = weakref.WeakSet()
+        self.clock = 0
+
+    def grown(self, memory) -> None:
+        self.clock += 1
+        memory.last = self.clock
+        self.members.add(memory)
+        total = sum(m.used for m in self.members)
+        for other in sorted(self.members, key=lambda m: m.last):
+            if total <= WORKER_BYTES or other is memory:
+                break
+            total -= other.used
+            other.forget()
+
+
+shared = Shared()
+
+
 class Memo(dict):
     """A memory of a pure function, bounded in bytes, in two generations: what is asked for again outlives a
     turn-over. Keys longer than longest are computed anew each time, so long texts without blanks are never kept."""
 
     def __init__(self, compute, most_bytes: int, longest: int = 64):
         super().__init__()
-        self.compute, self.half, self.longest, self.room, self.old = compute, most_bytes // 2, longest, most_bytes // 2, {}
+        self.compute, self.half, self.longest = compute, most_bytes // 2, longest
+        self.forget()
+
+    def __hash__(self):
+        return id(self)
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.young_bytes, self.used, self.told = {}, 0, 0, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -54,11 +87,17 @@ class Memo(dict):
             value = self.compute(key)
             if len(key) > self.longest:
                 return value
-        self.room -= getsizeof(key) + getsizeof(value) + ENTRY_BYTES
-        if self.room < 0:
-            self.old, self.room = dict(self), self.half
+        size = getsizeof(key) + getsizeof(value) + ENTRY_BYTES
+        if self.young_bytes + size > self.half:
+            self.old, self.used, self.young_bytes = dict(self), self.young_bytes, 0
             self.clear()
         self[key] = value
+        self.young_bytes += size
+        self.used += size
+        self.told += size
+        if self.told > TOLD_BYTES:
+            self.told = 0
+            shared.grown(self)
         return value
 
 

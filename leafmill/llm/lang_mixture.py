@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ENTRY_BYTES, bounded_sample, held_out, slices, stored
+from leafmill.llm.common import ENTRY_BYTES, bounded_sample, held_out, shared, slices, stored
 
 UNDETERMINED = "und"
 # A run of letters longer than this counts as several words, so that a word's arrays stay small.
+LETTERS = re.compile(r"[^\W\d_]{1,4096}")
 # \w also takes number signs such as ² or Ⅷ, which are no letters.
-NUMBER_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c)[0] != "L")
-LETTERS = re.compile(rf"[^\W\d_{NUMBER_SIGNS}]{{1,4096}}")
+NUMBER_SIGN = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c)[0] != "L") + "]")
 BUCKETS = 1 << 17
 CHUNK_BYTES, LONGEST_KEPT = 40_000_000, 64
 SLICE_CHARS, BATCH_CHARS = 2_000_000, 130_000
@@ -35,6 +35,15 @@ SHIFT = np.uint64(64 - 17)
 POWERS = np.cumprod(np.full(4098, FACTORS[5]))
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    text = text.lower()
+    words = LETTERS.findall(text)
+    if words and not "".join(words).isalpha():
+        words = LETTERS.findall(NUMBER_SIGN.sub(" ", text))
+    return words
+
+
 def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the 2-grams and 3-grams at each position of the words with their ends marked, BUCKETS where
     none begins, the bucket of each whole word, and where each word begins."""
@@ -57,8 +66,7 @@ class LanguageModel:
 
     def __post_init__(self):
         self.padded = np.vstack([self.table, np.zeros((1, self.table.shape[1]))]).astype("f4")
-        self.chunks: dict[str, bytes] = {}
-        self.used, self.passing = 0, []
+        self.forget()
 
     def __getstate__(self):
         return {"languages": self.languages, "table": self.table, "prior": self.prior}
@@ -67,6 +75,10 @@ class LanguageModel:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def forget(self) -> None:
+        self.chunks: dict[str, bytes] = {}
+        self.used, self.passing = 0, []
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-likelihoods of words. Grams overlap, each letter counts in two, so their sum is halved."""
         found = np.empty((len(words), len(self.languages)), "f4")
@@ -80,11 +92,12 @@ class LanguageModel:
         bounded in bytes between two calls; long chunks stay for one call."""
         for chunk in self.passing:
             del self.chunks[chunk]
-        if self.used > CHUNK_BYTES:
-            self.chunks, self.used = {}, 0
+        if self.used > CHUNK_BYTES:  # those that are wanted again stay
+            self.chunks = {c: self.chunks[c] for c in wanted if c in self.chunks}
+            self.used = sum(sys.getsizeof(c) + sys.getsizeof(p) + ENTRY_BYTES for c, p in self.chunks.items())
         new = [c for c in wanted if c not in self.chunks]
         self.passing = [c for c in new if len(c) > LONGEST_KEPT]
-        words = [LETTERS.findall(c.lower()) for c in new]
+        words = [words_of(c) for c in new]
         packed = self.word_scores([w for ws in words for w in ws]).tobytes()
         at, width = 0, 4 * len(self.languages)
         for chunk, ws in zip(new, words, strict=True):
@@ -93,6 +106,7 @@ class LanguageModel:
             at = end
             if len(chunk) <= LONGEST_KEPT:
                 self.used += sys.getsizeof(chunk) + sys.getsizeof(self.chunks[chunk]) + ENTRY_BYTES
+        shared.grown(self)
 
     def predict(self, texts: list[str | None], penalty: float, rounds: int) -> tuple[list[str], list[float], list[list[tuple[str, float]]]]:
         k = len(self.languages)
@@ -166,7 +180,7 @@ def train(labelled: DataFrame, per_language: int = 1500, longest: int = 200_000,
     languages = sorted(there)
     counts = {v: Counter() for v in languages}
     for row in rows:
-        counts[row["lang"]].update(LETTERS.findall(row["text"].lower()))
+        counts[row["lang"]].update(words_of(row["text"]))
     table = np.zeros((BUCKETS, len(languages)))
     for at, value in enumerate(languages):
         words, often = list(counts[value]), np.sqrt(np.fromiter(counts[value].values(), "f8"))  # a word that repeats says less each time

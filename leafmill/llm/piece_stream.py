@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import Memo
+from leafmill.llm.common import TOLD_BYTES, Memo, shared
 
 SPACE = "▁"
-PAIR_BYTES, TABLE_BYTES = 24_000_000, 128_000_000
+PAIR_BYTES, TABLE_BYTES = 16_000_000, 96_000_000
 # Kinds of pieces and of models in the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -262,8 +262,13 @@ class Tables:
 
     def __init__(self, model: PieceModel):
         self.known: dict[tuple[str, str], State] = {}
-        self.used = self.steps = self.passing = 0
         self.start = State(self, StreamingViterbi(model))
+        self.used = self.steps = self.passing = self.told = 0
+
+    def forget(self) -> None:
+        for state in (self.start, *self.known.values()):
+            state.clear()
+        self.known, self.used, self.steps, self.passing, self.told = {}, 0, 0, 0, 0
 
     def state(self, stream: StreamingViterbi) -> State:
         key = stream.previous, stream.window
@@ -278,13 +283,13 @@ class Tables:
         if self.used + size <= TABLE_BYTES:
             self.used += size
             self.steps += 1
+            if self.used - self.told > TOLD_BYTES:
+                self.told = self.used
+                shared.grown(self)
             return True
         self.passing += 1
         if self.passing > 8 * self.steps:
-            for state in self.known.values():
-                state.clear()
-            self.start.clear()
-            self.known, self.used, self.steps, self.passing = {}, 0, 0, 0
+            self.forget()
         return False
 
 

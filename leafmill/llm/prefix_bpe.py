@@ -18,13 +18,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import Memo
+from leafmill.llm.common import TOLD_BYTES, Memo, shared
 
 # The split pattern of byte-level BPE vocabularies.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Blanks with what follows them: the words before blanks don't depend on them.
 CHUNK_PATTERN = r"\s*\S+|\s+"
-CHUNK_BYTES, PAIR_BYTES, STATE_BYTES = 64_000_000, 24_000_000, 128_000_000
+CHUNK_BYTES, PAIR_BYTES, STATE_BYTES = 28_000_000, 12_000_000, 84_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -43,7 +43,7 @@ class PrefixCounter:
         model = spec["model"]
         if model["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
             raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
-        self.vocabulary = set(model["vocab"])
+        self.vocabulary = {token: token for token in model["vocab"]}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {pair: at for at, pair in enumerate(pairs)}
         self.letters = dict(enumerate(byte_alphabet()))
@@ -58,15 +58,24 @@ class PrefixCounter:
         self.heads = {t[:n] for t in self.vocabulary for n in range(1, len(t))}  # what may still grow into a token
         self.touching = {t[i : i + 2] for t in self.vocabulary for i in range(len(t) - 1)}
         self.states: dict[tuple, Prefixes] = {}
-        self.used = self.steps = self.passing = 0
+        self.entries: dict[tuple, tuple] = {}  # one object for each entry of the states
         self.start = Prefixes(self, "", ((0, "", 0),))
+        self.used = self.steps = self.passing = self.told = 0
+
+    def forget(self) -> None:
+        for state in (self.start, *self.states.values()):
+            state.clear()
+        self.states, self.entries, self.used, self.steps, self.passing, self.told = {}, {}, 0, 0, 0, 0
 
     def state(self, text: str, held: tuple) -> Prefixes:
         found = self.states.get((text, held))
         if found is None:
-            found = Prefixes(self, text, held)
-            if self.room(400 + 130 * len(held)):
-                self.states[text, held] = found
+            new = sum(entry not in self.entries for entry in held)
+            if self.room(400 + 8 * len(held) + 180 * new):
+                held = tuple(self.entries.setdefault(entry, entry) for entry in held)
+                self.states[text, held] = found = Prefixes(self, text, held)
+            else:
+                found = Prefixes(self, text, held)
         return found
 
     def room(self, size: int) -> bool:
@@ -75,12 +84,13 @@ class PrefixCounter:
         if self.used + size <= STATE_BYTES:
             self.used += size
             self.steps += 1
+            if self.used - self.told > TOLD_BYTES:
+                self.told = self.used
+                shared.grown(self)
             return True
         self.passing += 1
         if self.passing > 8 * self.steps:
-            for state in (self.start, *self.states.values()):
-                state.clear()
-            self.states, self.used, self.steps, self.passing = {}, 0, 0, 0
+            self.forget()
         return False
 
     def merged(self, symbols: str) -> list[str]:
@@ -185,7 +195,7 @@ class Prefixes(dict):
                     last = ""
                 piece = text[len(text) - behind - 1 :]
                 if not token and piece in counter.vocabulary and (counter.follows[last, piece] if last else counter.stands[piece]):
-                    token, step = piece, count + 1
+                    token, step = counter.vocabulary[piece], count + 1
                 if piece in counter.heads:
                     alive.append((behind + 1, last, count))
             held = (*((n, last, count - step) for n, last, count in alive), (0, token, 0))
