@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Memo, grouped, runs, slices, stored
+from leafmill.llm.common import Memo, grouped, runs, slices, stored, tidy
 from leafmill.llm.components import components, dealt_anew
 
 WORDS = 5
@@ -144,6 +144,7 @@ def roots(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def signature_table(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (128 bits of the shingle set), bands and signature (16 bits a value)."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -184,6 +185,7 @@ def tied(bucketed: DataFrame) -> DataFrame:
     """(u, v) that tie documents which share a band and survive the pruning."""
     keys = ["band", "key", "a", "b"]
 
+    @tidy
     def run(batches):
         least = least_matches()
         for table in grouped(batches, keys):
@@ -221,6 +223,7 @@ def with_shingles(rows: DataFrame) -> DataFrame:
     """Replaces text by its sorted shingle set and its signature."""
     others = [c for c in rows.columns if c != "text"]
 
+    @tidy
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -260,6 +263,7 @@ def verified(members: DataFrame) -> DataFrame:
     """(doc, root, n_links): of each block the links of a document in it and the least one it is tied to."""
     keys = ["grp", "a", "b"]
 
+    @tidy
     def run(batches):
         least = least_matches()
         for table in grouped(batches, keys):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from sys import getsizeof
 
 import numpy as np
@@ -101,6 +103,18 @@ class Memo(dict):
         return value
 
 
+def tidy(run: Callable) -> Callable:
+    """Runs over the batches of a task; when they are done, pages that are free go back to the system."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names. Where none is named, a folder of this machine serves a session that
     runs in one process; on a cluster, where other executors couldn't read it, that is an error."""

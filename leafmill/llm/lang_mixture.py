@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ENTRY_BYTES, bounded_sample, held_out, shared, slices, stored
+from leafmill.llm.common import ENTRY_BYTES, bounded_sample, held_out, shared, slices, stored, tidy
 
 UNDETERMINED = "und"
 # A run of letters longer than this counts as several words, so that a word's arrays stay small.
@@ -206,6 +206,7 @@ def identify(documents: DataFrame, model: LanguageModel, penalty: float = 3.0, r
     sent = documents.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and the languages
     wanted = ["doc_id", *[c for c in keep if c != "doc_id"]]
 
+    @tidy
     def run(batches):
         known = sent.value
         for batch in batches:
@@ -227,6 +228,7 @@ def with_language(documents: DataFrame, model: LanguageModel, penalty: float = 3
     sent = documents.sparkSession.sparkContext.broadcast(model)
     names = documents.columns
 
+    @tidy
     def run(batches):
         known = sent.value
         for batch in batches:

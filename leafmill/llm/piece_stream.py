@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import TOLD_BYTES, Memo, shared
+from leafmill.llm.common import TOLD_BYTES, Memo, shared, tidy
 
 SPACE = "▁"
 PAIR_BYTES, TABLE_BYTES = 16_000_000, 96_000_000
@@ -312,6 +312,7 @@ def encoded(documents: DataFrame, path: str | None = None, keep_text: bool = Fal
     """
     path = path or default_path()
 
+    @tidy
     def run(batches):
         pieces = model(path)
         for batch in batches:
@@ -331,6 +332,7 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
     others = [c for c in rows.columns if c not in ("ids", "decoded")]
 
+    @tidy
     def run(batches):
         pieces = model(path)
         for batch in batches:
@@ -349,6 +351,7 @@ def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or default_path()
 
+    @tidy
     def run(batches):
         pieces = model(path)
         for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import TOLD_BYTES, Memo, shared
+from leafmill.llm.common import TOLD_BYTES, Memo, shared, tidy
 
 # The split pattern of byte-level BPE vocabularies.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -227,6 +227,7 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = 512
     """
     path = path or default_path()
 
+    @tidy
     def run(batches):
         tokens = counter(path)
         for batch in batches:
@@ -250,6 +251,7 @@ def truncated(documents: DataFrame, budget: int, path: str | None = None) -> Dat
     """
     path = path or default_path()
 
+    @tidy
     def run(batches):
         tokens = counter(path)
         for batch in batches:

@@ -19,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from leafmill.llm.common import tidy
+
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -217,6 +219,7 @@ def scanned(documents: DataFrame, least: float = 9.0, vocabulary: str | None = N
     """
     nothing = hashlib.sha256(b"").hexdigest()
 
+    @tidy
     def run(batches):
         for batch in batches:
             column = batch.column("text")
@@ -238,6 +241,7 @@ def redacted(documents: DataFrame, least: float = 9.0, mark: str = "[SECRET]", v
     """The documents with every span replaced by a mark; all rows and columns stay. A null text stays null."""
     names = documents.columns
 
+    @tidy
     def run(batches):
         for batch in batches:
             column = batch.column("text")

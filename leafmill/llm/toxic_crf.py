@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Memo, bounded_sample, held_out, slices, stored
+from leafmill.llm.common import Memo, bounded_sample, held_out, slices, stored, tidy
 
 BUCKETS = 1 << 18
 BLOCK = 64
@@ -274,6 +274,7 @@ def scored(documents: DataFrame, model: ToxicModel, threshold: float = 0.3) -> D
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS
 
+    @tidy
     def run(batches):
         known = sent.value
         for batch in batches:
