@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 GROUP_SEPARATOR = "\x1d"
 # Identifiers whose values have a fixed length, and that length; (prefix of the identifier, digits).
-FIXED_LENGTHS = {"00": 18, "01": 14, "02": 14, "11": 6, "12": 6, "13": 6, "15": 6, "16": 6, "17": 6, "20": 2, "410": 13, "411": 13, "412": 13, "413": 13, "414": 13, "415": 13, "416": 13}
-PRIMARY_KEYS = ["01", "8006", "8013", "8010", "410", "414", "417", "8017", "8018", "255", "00", "253", "401", "402", "8003", "8004"]
+FIXED_LENGTHS = {"00": 18, "01": 14, "02": 14, "11": 6, "12": 6, "13": 6, "15": 6, "16": 6, "17": 6, "20": 2, "410": 13, "411": 13, "412": 13, "413": 13, "414": 13, "415": 13, "416": 13, "417": 13}
+# Primary identification keys of Digital Link addresses, the first of which goes first.
+PRIMARY_KEYS = ["01", "8006", "8013", "8010", "414", "417", "8017", "8018", "255", "00", "253", "401", "402", "8003", "8004"]
 
 
 def parse(text: Column) -> Column:

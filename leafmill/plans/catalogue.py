@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +24,7 @@ ACCESSIBLE = """
 7.18.1 1-3; 7.18.2 1; 7.18.3 1; 7.18.4 1-2; 7.18.5 1-2; 7.18.6.2 1-2; 7.18.8 1; 7.20 1-2; 7.21.3.1 1; 7.21.3.2 1; 7.21.3.3 1-3;
 7.21.4.1 1-2; 7.21.4.2 1-2; 7.21.5 1; 7.21.6 1-4; 7.21.7 1-2; 7.21.8 1
 """
-NOT_IMPLEMENTED = {"6.1.13-10": "Partial", "6.2.11.3.1-1": "Partial", "6.8-5": "OutOfScope", "7.21.3.1-1": "Partial", "7.16-1": "OutOfScope"}
+OUT_OF_SCOPE = ("6.8-5", "7.16-1")
 
 PROFILES = ("2b", "2u", "2a", "ua1")
 
@@ -42,9 +41,13 @@ def expanded(text: str) -> list[str]:
 
 
 def entries() -> list[tuple[str, list[str], str, str]]:
-    """(test id, profiles, clause, status) of each check; the archive profiles contain one another."""
+    """(test id, profiles, clause, status) of each check; the archive profiles contain one another.
+
+    A check is Implemented if a rule of this engine evaluates it; all others are Deferred, so they never count as passed.
+    """
+    known = {r.rule_id for r in rules.RULES}
     groups = ((ARCHIVE_BASIC, ["2b", "2u", "2a"]), (ARCHIVE_UNICODE, ["2u", "2a"]), (ARCHIVE_TAGGED, ["2a"]), (ACCESSIBLE, ["ua1"]))
-    return [(i, profiles, i.rpartition("-")[0], NOT_IMPLEMENTED.get(i, "Implemented")) for text, profiles in groups for i in expanded(text)]
+    return [(i, profiles, i.rpartition("-")[0], "OutOfScope" if i in OUT_OF_SCOPE else "Implemented" if i in known else "Deferred") for text, profiles in groups for i in expanded(text)]
 
 
 def checks(spark: SparkSession) -> DataFrame:
@@ -53,18 +56,13 @@ def checks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "test_id string, profile string, clause string, status string")
 
 
-def evaluated(catalogue: DataFrame, rule_ids: Iterable[str]) -> DataFrame:
-    """The catalogue for accounting of files: a check that no rule evaluates is Deferred, so it never counts as passed."""
-    return catalogue.withColumn("status", F.when(F.col("test_id").isin(*rule_ids) | (F.col("status") == "OutOfScope"), F.col("status")).otherwise("Deferred"))
-
-
 def file_accounts(tables: dict[str, DataFrame], profiles: tuple[str, ...] = PROFILES) -> DataFrame:
     """file, profile, test_id, clause, status, bucket of every readable file and profile, by the rules over its tables.
 
     Checks without a rule are notEvaluated. A finding counts in the profiles its rule is for.
     """
     spark = tables["status"].sparkSession
-    known = evaluated(checks(spark), [r.rule_id for r in rules.RULES])
+    known = checks(spark)
     found = rules.assertions(tables, profiles).withColumnRenamed("doc_id", "file")
     parts = []
     for profile in profiles:

@@ -209,17 +209,59 @@ def operators(content: bytes):
             reader.at = mark.end() if mark else len(content)
 
 
-def rows_of(doc_id: str, data: bytes):
-    """The rows of a file: item, then what the item has. Damage gives a status row, never an exception."""
+DAMAGE = (ValueError, EOFError, KeyError, TypeError, IndexError, AttributeError, OverflowError, RecursionError)
+
+
+def guarded(rows, part: str, number: int | None = None):
+    """The rows of a part of a file; damage ends them with an error row."""
     try:
-        document = Document(data)
-    except Unsupported as error:
-        yield {"item": "status", "kind": "unsupported", "value": str(error)}
-        return
-    except (ValueError, EOFError, KeyError, TypeError, IndexError, AttributeError) as error:
-        yield {"item": "status", "kind": "damaged", "value": f"{type(error).__name__}: {error}"}
+        yield from rows
+    except DAMAGE as error:
+        yield {"item": "error", "num": number, "kind": part, "value": f"{type(error).__name__}: {error}"}
+
+
+def mapping(value) -> dict:
+    return value if isinstance(value, dict) else {}
+
+
+def object_rows(document: Document, number: int):
+    found = document.load(number)
+    if not found:
+        yield {"item": "object", "num": number, "kind": "unreadable"}
         return
-    yield {"item": "status", "kind": "read", "value": data[:16].decode("latin-1"), "offset": len(data)}
+    generation, value, raw, offset, container = found
+    kind = "stream" if raw is not None else "name" if is_name(value) else type(value).__name__ if value is not None else "null"
+    decoded, complete = decoded_stream(value, raw, document.resolve) if raw is not None else (None, None)
+    yield {"item": "object", "num": number, "gen": generation, "kind": kind, "value": json.dumps(value), "offset": offset, "container": container, "raw": raw, "decoded": decoded, "complete": complete, "recovered": number in document.recovered}
+    for path, target, gen in references_in(value):
+        yield {"item": "ref", "num": number, "gen": gen, "idx": target, "value": path}
+
+
+def page_rows(document: Document, page: int, number: int | None, fields: dict):
+    """What should be a dictionary or a list and is not counts as empty."""
+    resources = dict(mapping(document.resolve(fields.get("Resources"))))
+    for part in ("Font", "XObject", "ColorSpace", "ExtGState"):
+        resources[part] = {k: document.resolve(v) for k, v in mapping(document.resolve(resources.get(part))).items()}
+    annotations = document.resolve(fields.get("Annots"))
+    annotations = [document.resolve(a) for a in annotations] if isinstance(annotations, list) else []
+    yield {"item": "page", "num": number, "idx": page, "value": json.dumps({**fields, "Resources": resources, "Annots": annotations})}
+    for at, (name, operands) in enumerate(operators(document.content(fields))):
+        yield {"item": "op", "idx": page, "num": at, "kind": name, "value": json.dumps(operands)}
+
+
+def all_pages(document: Document):
+    for page, number, fields in document.pages():
+        yield from guarded(page_rows(document, page, number, fields), "page", number)
+
+
+def catalog_rows(document: Document):
+    root = document.resolve(document.trailer.get("Root"))
+    if isinstance(root, dict):
+        shallow = {k: document.resolve(v) for k, v in root.items() if k not in ("Pages", "StructTreeRoot", "Outlines", "Names")}
+        yield {"item": "catalog", "value": json.dumps(shallow | {k: True for k in ("StructTreeRoot", "Outlines", "Names") if k in root})}
+
+
+def file_rows(document: Document):
     yield {"item": "trailer", "value": json.dumps(document.trailer)}
     oldest = len(document.revisions) - 1
     for r in document.revisions:
@@ -227,26 +269,22 @@ def rows_of(doc_id: str, data: bytes):
     for r in document.rows:
         kind, place, extra = r["entry"]
         yield {"item": "xref", "rev": oldest - r["rev"], "num": r["num"], "gen": extra if kind != "packed" else 0, "kind": kind, "offset": place, "idx": r["source"]}
+
+
+def rows_of(doc_id: str, data: bytes):
+    """The rows of a file: item, then what the item has. Damage gives a status row, or an error row for the object or
+    page that has it, never an exception."""
+    try:
+        document = Document(data)
+    except Unsupported as error:
+        yield {"item": "status", "kind": "unsupported", "value": str(error)}
+        return
+    except DAMAGE as error:
+        yield {"item": "status", "kind": "damaged", "value": f"{type(error).__name__}: {error}"}
+        return
+    yield {"item": "status", "kind": "read", "value": data[:16].decode("latin-1"), "offset": len(data)}
+    yield from guarded(file_rows(document), "file")
     for number in sorted(document.entries):
-        found = document.load(number)
-        if not found:
-            yield {"item": "object", "num": number, "kind": "unreadable"}
-            continue
-        generation, value, raw, offset, container = found
-        kind = "stream" if raw is not None else "name" if is_name(value) else type(value).__name__ if value is not None else "null"
-        decoded, complete = decoded_stream(value, raw, document.resolve) if raw is not None else (None, None)
-        yield {"item": "object", "num": number, "gen": generation, "kind": kind, "value": json.dumps(value), "offset": offset, "container": container, "raw": raw, "decoded": decoded, "complete": complete, "recovered": number in document.recovered}
-        for path, target, gen in references_in(value):
-            yield {"item": "ref", "num": number, "gen": gen, "idx": target, "value": path}
-    for page, number, fields in document.pages():
-        resolved = {**fields, "Resources": document.resolve(fields.get("Resources")) or {}}
-        for part in ("Font", "XObject", "ColorSpace", "ExtGState"):
-            resolved["Resources"] = {**resolved["Resources"], part: {k: document.resolve(v) for k, v in (document.resolve(resolved["Resources"].get(part)) or {}).items()}}
-        resolved["Annots"] = [document.resolve(a) for a in document.resolve(fields.get("Annots")) or []]
-        yield {"item": "page", "num": number, "idx": page, "value": json.dumps(resolved)}
-        for at, (name, operands) in enumerate(operators(document.content(fields))):
-            yield {"item": "op", "idx": page, "num": at, "kind": name, "value": json.dumps(operands)}
-    root = document.resolve(document.trailer.get("Root"))
-    if isinstance(root, dict):
-        shallow = {k: document.resolve(v) for k, v in root.items() if k not in ("Pages", "StructTreeRoot", "Outlines", "Names")}
-        yield {"item": "catalog", "value": json.dumps(shallow | {k: True for k in ("StructTreeRoot", "Outlines", "Names") if k in root})}
+        yield from guarded(object_rows(document, number), "object", number)
+    yield from guarded(all_pages(document), "pages")
+    yield from guarded(catalog_rows(document), "catalog")

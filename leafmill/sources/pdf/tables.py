@@ -51,6 +51,7 @@ def views(items: DataFrame) -> dict[str, DataFrame]:
     annotations = of("page").select("doc_id", F.col("idx").alias("page_no"), F.posexplode(F.from_json(F.get_json_object("value", "$.Annots"), "array<string>")).alias("idx", "dict"))
     return {
         "status": of("status").select("doc_id", F.col("kind").alias("status"), F.col("value").alias("detail"), F.col("offset").alias("length")),
+        "errors": of("error").select("doc_id", F.col("kind").alias("part"), F.col("num").alias("obj_num"), F.col("value").alias("detail")),
         "trailers": of("trailer").select("doc_id", "value"),
         "catalogs": of("catalog").select("doc_id", "value"),
         "revisions": of("revision").select("doc_id", F.col("num").alias("rev"), F.col("offset").alias("xref_offset")),

@@ -40,6 +40,8 @@ def test_element_strings(of):
     assert of(gs1.payload(gs1.parse(F.lit("(10)ABC123(21)SER456")))) == "10ABC123\x1d21SER456"
     assert of(gs1.readable(parsed)) == "(01)09501101020917(17)261231"
     assert of(gs1.digital_link(gs1.parse(F.lit("(10)LOT7(01)09520123456788(21)SER9")))) == "https://id.gs1.org/01/09520123456788/10/LOT7/21/SER9"
+    assert of(gs1.payload(gs1.parse(F.lit("(417)9501234567895(10)LOT1")))) == "417950123456789510LOT1"
+    assert of(gs1.digital_link(gs1.parse(F.lit("(410)9501234567895(414)9501234567895")))) == "https://id.gs1.org/414/9501234567895/410/9501234567895"
     assert of(gs1.path_segment(F.lit("A B/C"))) == "A%20B%2FC" and of(gs1.path_segment(F.lit("A-b_9.z~"))) == "A-b_9.z~"
 
 

@@ -109,3 +109,22 @@ def test_checks_without_a_rule_are_not_evaluated(found):
     wrong = {(r.doc_id, r.profile, r.rule_id) for r in rules.assertions(found).where("severity = 'Error'").collect()}
     assert {(r.file, r.profile, r.test_id) for r in rows if r.bucket == "failed"} == wrong
     assert any(r.bucket == "passed" for r in rows) and {r.bucket for r in rows if r.test_id in by_rule} <= {"passed", "failed"}
+
+
+def test_damage_gives_error_rows(spark):
+    """Resources, fonts and annotations that are no dictionaries or lists count as empty; what can't be read is an error row."""
+    page = b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources [1 2] /Annots 7 >>"
+    broken = {3: page, 6: b"<< /Type /ObjStm /N (x) /First 0 /Length 3 >>", 7: b"<< /Type /Page /Resources << /Font [1] >> >>"}
+    items = tables.parsed(tables.from_bytes(spark, {"a": plain(extra=broken), "b": plain()})).cache()
+    found = tables.views(items)
+    assert found["status"].where("status = 'read'").count() == 2
+    assert found["pages"].where("doc_id = 'a'").count() == 1 and found["errors"].where("doc_id = 'b'").count() == 0
+    assert found["annotations"].where("doc_id = 'a'").count() == 0
+
+    from leafmill.sources.pdf import document
+
+    def fails():
+        yield {"item": "object", "num": 1}
+        raise TypeError("a list")
+
+    assert list(document.guarded(fails(), "object", 1)) == [{"item": "object", "num": 1}, {"item": "error", "num": 1, "kind": "object", "value": "TypeError: a list"}]
