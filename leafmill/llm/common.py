@@ -45,10 +45,11 @@ def slices(texts: list[str | None], most_chars: int) -> Iterator[tuple[int, int]
 
 
 class Shared:
-    """Keeps all memories of a worker process together below WORKER_BYTES: as one grows, those that have grown least
-    lately, such as another operator's, are forgotten first."""
+    """Keeps all memories of a worker process together below a limit, WORKER_BYTES unless a task names its own: as one
+    grows, those that have grown least lately, such as another operator's, are forgotten first."""
 
     def __init__(self):
+        self.limit = WORKER_BYTES
         self.members: weakref.WeakSet = weakref.WeakSet()
         self.clock = 0
 
@@ -58,7 +59,7 @@ class Shared:
         self.members.add(memory)
         total = sum(m.used for m in self.members)
         for other in sorted(self.members, key=lambda m: m.last):
-            if total <= WORKER_BYTES or other is memory:
+            if total <= self.limit or other is memory:
                 break
             total -= other.used
             other.forget()
@@ -103,10 +104,12 @@ class Memo(dict):
         return value
 
 
-def tidy(run: Callable) -> Callable:
-    """Runs over the batches of a task; when they are done, pages that are free go back to the system."""
+def tidy(run: Callable, worker_bytes: int = WORKER_BYTES) -> Callable:
+    """Runs over the batches of a task with memories of worker_bytes in all; when they are done, pages that are free
+    go back to the system."""
 
     def tidied(batches):
+        shared.limit = worker_bytes
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # where the C library can

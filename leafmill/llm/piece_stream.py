@@ -20,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import TOLD_BYTES, Memo, shared, tidy
+from leafmill.llm.common import TOLD_BYTES, WORKER_BYTES, Memo, shared, tidy
 
 SPACE = "▁"
 PAIR_BYTES, TABLE_BYTES = 16_000_000, 96_000_000
+ALONE_BYTES = 200_000_000  # of tables, where no other operator's memories are in the worker
 # Kinds of pieces and of models in the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -263,6 +264,7 @@ class Tables:
     def __init__(self, model: PieceModel):
         self.known: dict[tuple[str, str], State] = {}
         self.start = State(self, StreamingViterbi(model))
+        self.most = TABLE_BYTES
         self.used = self.steps = self.passing = self.told = 0
 
     def forget(self) -> None:
@@ -279,8 +281,13 @@ class Tables:
                 self.known[key] = found
         return found
 
+    def bound(self, most: int) -> None:
+        self.most = most
+        if self.used > most:
+            self.forget()
+
     def room(self, size: int) -> bool:
-        if self.used + size <= TABLE_BYTES:
+        if self.used + size <= self.most:
             self.used += size
             self.steps += 1
             if self.used - self.told > TOLD_BYTES:
@@ -294,10 +301,17 @@ class Tables:
 
 
 @lru_cache(maxsize=2)
-def model(path: str) -> PieceModel:
+def loaded(path: str) -> PieceModel:
     return PieceModel.load(path)
 
 
+def model(path: str, table_bytes: int = TABLE_BYTES) -> PieceModel:
+    """The model of a worker process, its tables bounded by table_bytes from here on."""
+    found = loaded(path)
+    found.tables.bound(table_bytes)
+    return found
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -343,17 +357,16 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     return rows.select(*others, "ids").mapInArrow(run, f"{schema}, decoded string")
 
 
-def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
+def round_trip(documents: DataFrame, path: str | None = None, table_bytes: int = ALONE_BYTES) -> DataFrame:
     """doc_id, ids, n_ids and exact: whether decoding the ids gives the text again.
 
     It is false only where the text holds a mark that stands for a space, or where the model normalizes. Null
-    texts count as empty.
+    texts count as empty. The tables of the search take at most table_bytes in a worker.
     """
     path = path or default_path()
 
-    @tidy
     def run(batches):
-        pieces = model(path)
+        pieces = model(path, table_bytes)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             packed = [pieces.encode_packed(t) for t in texts]
@@ -365,4 +378,5 @@ def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": ids, "n_ids": pa.array(sizes), "exact": pa.array(exact, pa.bool_())})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids long, exact boolean")
+    bounded = tidy(run, WORKER_BYTES - TABLE_BYTES + table_bytes)
+    return documents.select("doc_id", "text").mapInArrow(bounded, f"doc_id {kind}, ids array<int>, n_ids long, exact boolean")
