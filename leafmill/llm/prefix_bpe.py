@@ -10,6 +10,7 @@ read off them, and nothing is encoded again.
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 from itertools import accumulate
 
@@ -113,19 +114,21 @@ class PrefixCounter:
 
     def chunk_steps(self, chunk: str) -> bytes:
         if "'" in chunk or chunk[1:2].isspace():  # prefixes of these can have other words
-            return np.diff(np.array(self.plain_prefixes(chunk), "<i4")).tobytes()
-        steps = []
-        for word in self.words.findall(chunk):
+            return np.diff(np.array(self.plain_prefixes(chunk), "i4")).tobytes()
+        steps = array("i")
+        put = steps.append
+        # A blank and letters are one word, what most chunks are.
+        for word in (chunk,) if chunk[chunk[0] == " " :].isalpha() else self.words.findall(chunk):
             state = self.start
             for letter in word:
                 state, step = state[letter]
-                steps.append(step)
-        return np.array(steps, "<i4").tobytes()
+                put(step)
+        return steps.tobytes()
 
     def plain_table(self, text: str) -> np.ndarray:
         """The counts of all prefixes but the empty one, of a text without special strings."""
         steps = b"".join(map(self.steps_of.__getitem__, self.chunks.findall(text)))
-        return np.cumsum(np.frombuffer(steps, "<i4"), dtype="i8")
+        return np.cumsum(np.frombuffer(steps, "i4"), dtype="i8")
 
     def table(self, text: str | None) -> np.ndarray:
         """counts[k] is the number of tokens that text[:k] has when it stands alone, k in code points."""
