@@ -25,7 +25,7 @@ from leafmill.llm.common import TOLD_BYTES, Memo, shared, tidy
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Blanks with what follows them: the words before blanks don't depend on them.
 CHUNK_PATTERN = r"\s*\S+|\s+"
-CHUNK_BYTES, PAIR_BYTES, STATE_BYTES = 28_000_000, 12_000_000, 84_000_000
+CHUNK_BYTES, PAIR_BYTES, STATE_BYTES, ALL_BYTES = 100_000_000, 12_000_000, 100_000_000, 220_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -230,7 +230,6 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = 512
     """
     path = path or default_path()
 
-    @tidy
     def run(batches):
         tokens = counter(path)
         for batch in batches:
@@ -243,7 +242,7 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = 512
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run, ALL_BYTES), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def truncated(documents: DataFrame, budget: int, path: str | None = None) -> DataFrame:
@@ -254,7 +253,6 @@ def truncated(documents: DataFrame, budget: int, path: str | None = None) -> Dat
     """
     path = path or default_path()
 
-    @tidy
     def run(batches):
         tokens = counter(path)
         for batch in batches:
@@ -265,4 +263,4 @@ def truncated(documents: DataFrame, budget: int, path: str | None = None) -> Dat
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, n_tokens long")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run, ALL_BYTES), f"doc_id {kind}, text string, n_tokens long")
