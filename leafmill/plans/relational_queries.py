@@ -100,6 +100,20 @@ def table_autowidth(spark, d):
     return sizes.select("col", "widest", "longest_word", share.alias("share"))
 
 
+def outline_visible(spark, d):
+    """Each node's descendants.
+
+    Above a customer are a nation and its region and no more, so two steps climb the whole tree. Customers of a nation
+    climb as one row; Spark's recursive queries stop with an error at 1,000,000 rows.
+    """
+    named = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    nations = table(spark, d, "nation").select(named("n", "n_nationkey").alias("node"), named("r", "n_regionkey").alias("up"))
+    first = table(spark, d, "customer").groupBy(named("n", "c_nationkey").alias("up")).agg(F.count("*").alias("n"))
+    second = first.withColumnRenamed("up", "node").join(nations, "node").select("up", "n")
+    climbed = first.union(nations.select("up", F.lit(1).cast("long").alias("n"))).union(second)
+    return climbed.groupBy(F.col("up").alias("node")).agg(F.sum("n").alias("descendants"))
+
+
 # The next ones are plain SQL that both engines read alike.
 SAME = {
     "pie_slices": (
@@ -212,6 +226,7 @@ QUERIES = {f.__name__: f for f in (revision_merge, heading_skip, stack_depth, ca
 QUERIES |= {name: same_query(name) for name in SAME}
 QUERIES["paginate_rows"] = paginate_rows
 QUERIES["table_autowidth"] = table_autowidth
+QUERIES["outline_visible"] = outline_visible
 
 SQL = {
     "revision_merge": """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)

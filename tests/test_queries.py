@@ -95,3 +95,13 @@ def test_table_autowidth_takes_all_words(spark, tmp_path):
     spark.createDataFrame(rows, "p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     found = QUERIES["table_autowidth"](spark, str(tmp_path)).select("col", "widest", "longest_word", "share").collect()
     assert sorted(map(tuple, found)) == [("brand", 3, 3, 88), ("name", 16, 9, 470), ("type", 15, 11, 441)]
+
+
+def test_outline_visible_beyond_a_million_rows(spark, tmp_path):
+    spark.createDataFrame([(0, 5), (1, 5), (1, 6), (2, None)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(5,), (6,)], "r_regionkey int").write.parquet(f"{tmp_path}/region.parquet")
+    key = "CAST(CASE id % 4 WHEN 3 THEN NULL ELSE id % 4 END AS INT) AS c_nationkey"
+    spark.range(800_000).selectExpr("id AS c_custkey", key).write.parquet(f"{tmp_path}/customer.parquet")
+    each = 200_000
+    want = {"n0": each, "n1": each, "n2": each, "r5": 2 + 2 * each, "r6": 1 + each, None: 1 + 2 * each}  # no nation, no region
+    assert {r.node: r.descendants for r in QUERIES["outline_visible"](spark, str(tmp_path)).collect()} == want
