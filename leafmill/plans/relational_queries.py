@@ -114,6 +114,20 @@ def outline_visible(spark, d):
     return climbed.groupBy(F.col("up").alias("node")).agg(F.sum("n").alias("descendants"))
 
 
+def width_mismatch(spark, d):
+    """Orders whose total is not that of their lines.
+
+    A sum of doubles depends on the order of its terms, and a half rounds either way with it. Lines are added in the
+    order of their file, as the SQL does in one thread, however the file is split.
+    """
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "_metadata.file_path", "_metadata.row_index").where("l_orderkey IS NOT NULL")
+    in_order = Window.partitionBy("l_orderkey").orderBy("file_path", "row_index")
+    sums = lines.select("l_orderkey", F.sum("l_extendedprice").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.lead(F.lit(True)).over(in_order).alias("more"))
+    difference = F.col("o_totalprice") - F.col("s")
+    joined = table(spark, d, "orders").join(sums.where("more IS NULL"), F.col("o_orderkey") == F.col("l_orderkey")).where(F.abs(difference) > 2)
+    return joined.select("o_orderkey", F.round(difference).cast("long").alias("difference"))
+
+
 # The next ones are plain SQL that both engines read alike.
 SAME = {
     "pie_slices": (
@@ -227,6 +241,7 @@ QUERIES |= {name: same_query(name) for name in SAME}
 QUERIES["paginate_rows"] = paginate_rows
 QUERIES["table_autowidth"] = table_autowidth
 QUERIES["outline_visible"] = outline_visible
+QUERIES["width_mismatch"] = width_mismatch
 
 SQL = {
     "revision_merge": """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)

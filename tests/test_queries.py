@@ -105,3 +105,28 @@ def test_outline_visible_beyond_a_million_rows(spark, tmp_path):
     each = 200_000
     want = {"n0": each, "n1": each, "n2": each, "r5": 2 + 2 * each, "r6": 1 + each, None: 1 + 2 * each}  # no nation, no region
     assert {r.node: r.descendants for r in QUERIES["outline_visible"](spark, str(tmp_path)).collect()} == want
+
+
+def test_width_mismatch_adds_lines_in_file_order(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    orders, prices = range(500), [1e16, 1.0, -1e16, 3.5]  # in pairs they make 4
+    lines = [(k, p) for p in prices for k in orders]
+    half = len(lines) // 2
+    pq.write_table(pa.table({"l_orderkey": [k for k, _ in lines], "l_extendedprice": [p for _, p in lines]}), f"{tmp_path}/lineitem.parquet", row_group_size=half)
+    pq.write_table(pa.table({"o_orderkey": list(orders), "o_totalprice": [10.0] * len(orders)}), f"{tmp_path}/orders.parquet")
+    connection = duckdb.connect()
+    connection.execute("SET threads = 1")
+    for name in ("orders", "lineitem"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = sorted(connection.execute(SQL["width_mismatch"]).fetchall())
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for key in kept:
+            spark.conf.set(key, "1000")
+        found = sorted(map(tuple, QUERIES["width_mismatch"](spark, str(tmp_path)).select("o_orderkey", "difference").collect()))
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert found == want == [(k, 7) for k in orders]
