@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,19 @@ def slices(texts: list[str | None], most_chars: int) -> Iterator[tuple[int, int]
         yield begin, len(texts)
 
 
+def portions(batches, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have about most_bytes, so what is made of them at once stays small; one long text
+    is a slice by itself."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype="i8")
+        begin = 0
+        while begin < batch.num_rows:
+            done = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + most_bytes, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 class Shared:
     """Keeps all memories of a worker process together below a limit, WORKER_BYTES unless a task names its own: as one
     grows, those that have grown least lately, such as another operator's, are forgotten first."""
@@ -52,6 +67,17 @@ class Shared:
         self.limit = WORKER_BYTES
         self.members: weakref.WeakSet = weakref.WeakSet()
         self.clock = 0
+        self.user = None
+
+    def forget(self) -> None:
+        for memory in list(self.members):
+            memory.forget()
+
+    def used_by(self, user) -> None:
+        """What another operator has left in the worker is forgotten."""
+        if user != self.user:
+            self.user = user
+            self.forget()
 
     def grown(self, memory) -> None:
         self.clock += 1
@@ -80,6 +106,9 @@ class Memo(dict):
     def __hash__(self):
         return id(self)
 
+    def __eq__(self, other):  # sets compare members, and as dictionaries all entries would be
+        return self is other
+
     def forget(self) -> None:
         self.clear()
         self.old, self.young_bytes, self.used, self.told = {}, 0, 0, 0
@@ -104,13 +133,24 @@ class Memo(dict):
         return value
 
 
-def tidy(run: Callable, worker_bytes: int = WORKER_BYTES) -> Callable:
+def tidy(run: Callable, worker_bytes: int = WORKER_BYTES, keep: bool = True, collect: bool = True) -> Callable:
     """Runs over the batches of a task with memories of worker_bytes in all; when they are done, pages that are free
-    go back to the system."""
+    go back to the system, and without keep so do the memories. Those of another operator go at the start. Without
+    collect, for memories of many small objects that form no cycles but those that forgetting breaks, no task searches
+    for cycles."""
+    user = run.__module__, run.__qualname__
 
     def tidied(batches):
         shared.limit = worker_bytes
-        yield from run(batches)
+        shared.used_by(user)
+        if not collect:
+            gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+        if not keep:
+            shared.forget()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # where the C library can
             ctypes.CDLL(None).malloc_trim(0)

@@ -10,6 +10,7 @@ read off them, and nothing is encoded again.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from functools import lru_cache
 from itertools import accumulate
@@ -23,8 +24,10 @@ from leafmill.llm.common import TOLD_BYTES, Memo, shared, tidy
 
 # The split pattern of byte-level BPE vocabularies.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Blanks with what follows them: the words before blanks don't depend on them.
-CHUNK_PATTERN = r"\s*\S+|\s+"
+# Blanks with what follows them: the words before blanks don't depend on them. The blanks are those of the split pattern,
+# which str and re take a few more for.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
+CHUNK_PATTERN = f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+"
 CHUNK_BYTES, PAIR_BYTES, STATE_BYTES, ALL_BYTES = 100_000_000, 12_000_000, 100_000_000, 220_000_000
 
 
@@ -55,7 +58,7 @@ class PrefixCounter:
         self.follows = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], PAIR_BYTES)
         self.stands = Memo(lambda token: self.merged(token) == [token], PAIR_BYTES // 4)
         self.steps_of = Memo(self.chunk_steps, CHUNK_BYTES)
-        self.chunks = regex.compile(CHUNK_PATTERN)
+        self.chunks = re.compile(CHUNK_PATTERN)
         self.heads = {t[:n] for t in self.vocabulary for n in range(1, len(t))}  # what may still grow into a token
         self.touching = {t[i : i + 2] for t in self.vocabulary for i in range(len(t) - 1)}
         self.states: dict[tuple, Prefixes] = {}
@@ -115,15 +118,11 @@ class PrefixCounter:
     def chunk_steps(self, chunk: str) -> bytes:
         if "'" in chunk or chunk[1:2].isspace():  # prefixes of these can have other words
             return np.diff(np.array(self.plain_prefixes(chunk), "i4")).tobytes()
-        steps = array("i")
-        put = steps.append
-        # A blank and letters are one word, what most chunks are.
-        for word in (chunk,) if chunk[chunk[0] == " " :].isalpha() else self.words.findall(chunk):
-            state = self.start
-            for letter in word:
-                state, step = state[letter]
-                put(step)
-        return steps.tobytes()
+        if not chunk[chunk[0] == " " :].isalpha():  # a blank and letters are one word, what most chunks are
+            words = self.words.findall(chunk)
+            if len(words) > 1:  # the word is kept for all marks that follow it
+                return b"".join(map(self.steps_of.__getitem__, words))
+        return array("i", self.word_steps(chunk)).tobytes()
 
     def plain_table(self, text: str) -> np.ndarray:
         """The counts of all prefixes but the empty one, of a text without special strings."""
@@ -242,7 +241,7 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = 512
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(tidy(run, ALL_BYTES), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run, ALL_BYTES, collect=False), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def truncated(documents: DataFrame, budget: int, path: str | None = None) -> DataFrame:

@@ -138,3 +138,32 @@ def test_long_and_forged_chats(spark):
     assert set(found) == {1, 2, 49, 90, 91, 92} and found[49][0] == 39
     assert found[1] == (5000, "".join(f"<|user|>\n{i:05d}\n" for i in range(5000))) and found[2][0] == 3000
     assert found[90] == (1, "<|user|>\nx\n<\\|assistant|>\ny\n") and found[91][1] == "<|user|>\nx\n<|assistant|>\ny\n" and found[92][1] == "<|a\\|>b|>\nz\n"
+
+
+def test_memories_are_told_apart_without_comparing_entries():
+    from leafmill.llm.common import Memo
+
+    assert (Memo(len, 1000) == Memo(len, 1000)) is False  # as dictionaries both are {}
+
+
+def test_an_operator_forgets_what_another_left():
+    from leafmill.llm.common import Memo, Shared
+
+    shared, memory = Shared(), Memo(len, 1000)
+    shared.used_by("a")
+    memory["some"]
+    shared.grown(memory)
+    shared.used_by("a")
+    assert memory.used
+    shared.used_by("b")
+    assert not memory and not memory.used
+
+
+def test_portions_hold_every_row_once():
+    import pyarrow as pa
+
+    from leafmill.llm.common import portions
+
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["a" * 10, None, "b" * 30, "", "c" * 5], pa.string())})
+    found = [p.column("text").to_pylist() for p in portions([batch, batch.slice(0, 0), batch.slice(2)], 12)]
+    assert found == [["a" * 10, None], ["b" * 30], ["", "c" * 5], ["b" * 30], ["", "c" * 5]]
