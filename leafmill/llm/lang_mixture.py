@@ -13,6 +13,7 @@ import sys
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -228,7 +229,7 @@ def with_language(documents: DataFrame, model: LanguageModel, penalty: float = 3
     sent = documents.sparkSession.sparkContext.broadcast(model)
     names = documents.columns
 
-    @tidy
+    @partial(tidy, keep=False)
     def run(batches):
         known = sent.value
         for batch in batches:

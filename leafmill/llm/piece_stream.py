@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import TOLD_BYTES, WORKER_BYTES, Memo, shared, tidy
+from leafmill.llm.common import TOLD_BYTES, WORKER_BYTES, Memo, portions, shared, tidy
 
 SPACE = "▁"
 PAIR_BYTES, TABLE_BYTES = 16_000_000, 96_000_000
@@ -329,7 +329,7 @@ def encoded(documents: DataFrame, path: str | None = None, keep_text: bool = Fal
     @tidy
     def run(batches):
         pieces = model(path)
-        for batch in batches:
+        for batch in portions(batches):
             packed = [pieces.encode_packed(t) for t in batch.column("text").to_pylist()]
             sizes = np.fromiter((len(p) // 4 for p in packed), "i8", len(packed))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4"))
