@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Memo, grouped, runs, slices, stored, tidy
+from leafmill.llm.common import Memo, grouped, portions, runs, slices, stored, tidy
 from leafmill.llm.components import components, dealt_anew
 
 WORDS = 5
@@ -146,7 +146,7 @@ def signature_table(documents: DataFrame) -> DataFrame:
 
     @tidy
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch.column("text").to_pylist()
             for begin, end in slices(texts, SLICE_CHARS):
                 hashes, number = shingle_hashes(texts[begin:end])
@@ -225,7 +225,7 @@ def with_shingles(rows: DataFrame) -> DataFrame:
 
     @tidy
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch.column("text").to_pylist()
             for begin, end in slices(texts, SLICE_CHARS):
                 hashes, number = shingle_hashes(texts[begin:end])

@@ -69,6 +69,9 @@ class Shared:
         self.clock = 0
         self.user = None
 
+    def __reduce__(self):  # a task's function brings no copy along but finds the one of its worker, which memories use
+        return "shared"
+
     def forget(self) -> None:
         for memory in list(self.members):
             memory.forget()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ENTRY_BYTES, bounded_sample, held_out, shared, slices, stored, tidy
+from leafmill.llm.common import ENTRY_BYTES, bounded_sample, held_out, portions, shared, slices, stored, tidy
 
 UNDETERMINED = "und"
 # A run of letters longer than this counts as several words, so that a word's arrays stay small.
@@ -232,7 +232,7 @@ def with_language(documents: DataFrame, model: LanguageModel, penalty: float = 3
     @partial(tidy, keep=False)
     def run(batches):
         known = sent.value
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch.column("text").to_pylist()
             labels = []
             for begin, end in slices(texts, SLICE_CHARS):

@@ -13,17 +13,17 @@ they are first met, so a letter of a long corpus costs one look-up: the next sta
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import TOLD_BYTES, WORKER_BYTES, Memo, portions, shared, tidy
+from leafmill.llm.common import TOLD_BYTES, Memo, portions, shared, tidy
 
 SPACE = "▁"
-PAIR_BYTES, TABLE_BYTES = 16_000_000, 96_000_000
+PAIR_BYTES, PAIRS_BYTES, TABLE_BYTES = 16_000_000, 32_000_000, 64_000_000
 ALONE_BYTES = 200_000_000  # of tables, where no other operator's memories are in the worker
 # Kinds of pieces and of models in the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -326,7 +326,7 @@ def encoded(documents: DataFrame, path: str | None = None, keep_text: bool = Fal
     """
     path = path or default_path()
 
-    @tidy
+    @partial(tidy, worker_bytes=PAIRS_BYTES + TABLE_BYTES)
     def run(batches):
         pieces = model(path)
         for batch in portions(batches):
@@ -378,5 +378,5 @@ def round_trip(documents: DataFrame, path: str | None = None, table_bytes: int =
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": ids, "n_ids": pa.array(sizes), "exact": pa.array(exact, pa.bool_())})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    bounded = tidy(run, WORKER_BYTES - TABLE_BYTES + table_bytes)
+    bounded = tidy(run, PAIRS_BYTES + table_bytes)
     return documents.select("doc_id", "text").mapInArrow(bounded, f"doc_id {kind}, ids array<int>, n_ids long, exact boolean")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import tidy
+from leafmill.llm.common import portions, tidy
 
 
 # The base patterns, in the order of their kinds.
@@ -243,7 +243,7 @@ def redacted(documents: DataFrame, least: float = 9.0, mark: str = "[SECRET]", v
 
     @tidy
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             column = batch.column("text")
             may = candidates(column)
             if not any(may):

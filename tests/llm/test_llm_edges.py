@@ -167,3 +167,17 @@ def test_portions_hold_every_row_once():
     batch = pa.RecordBatch.from_pydict({"text": pa.array(["a" * 10, None, "b" * 30, "", "c" * 5], pa.string())})
     found = [p.column("text").to_pylist() for p in portions([batch, batch.slice(0, 0), batch.slice(2)], 12)]
     assert found == [["a" * 10, None], ["b" * 30], ["", "c" * 5], ["b" * 30], ["", "c" * 5]]
+
+
+def test_a_task_bounds_the_memories_of_its_worker(monkeypatch):
+    from pyspark import cloudpickle
+
+    from leafmill.llm import common
+
+    monkeypatch.setattr(common.shared, "limit", common.shared.limit)
+    memory = common.Memo(len, 1000)
+    memory["some"]
+    common.shared.grown(memory)
+    sent = cloudpickle.loads(cloudpickle.dumps(common.tidy(iter, 12_345, keep=False)))  # as tasks are sent to workers
+    assert list(sent([7])) == [7]
+    assert common.shared.limit == 12_345 and not memory
